@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspark.llm import bpe, media, packing
+from lexspark.llm import bpe, media, packing, quality, toxicity
 
 
 def tokenizer_file() -> str:
@@ -31,10 +31,22 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return quality.predict(docs, quality.train(docs, labels))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return toxicity.predict(docs, toxicity.train(docs, labels))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_media_columns": op3_media_columns,
     "op5_bpe": op5_bpe,
     "op6_packing": op6_packing,
+    "op7_quality": op7_quality,
+    "op8_toxicity": op8_toxicity,
 }
 
 SQL: dict[str, str] = {}
