@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspark.llm import bpe, media, packing, quality, toxicity
+from lexspark.llm import bpe, lm_score, media, packing, quality, topk, toxicity
 
 
 def tokenizer_file() -> str:
@@ -41,12 +41,36 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, toxicity.train(docs, labels))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In-domain: the texts of ``benchmark``; general: all documents."""
+    docs = _table(spark, sf_dir, "documents")
+    return lm_score.score(docs, lm_score.dictionary(_table(spark, sf_dir, "benchmark")), lm_score.dictionary(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_media_columns": op3_media_columns,
+    "op4_topk": op4_topk,
     "op5_bpe": op5_bpe,
     "op6_packing": op6_packing,
     "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
+    "op10_lm_score": op10_lm_score,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_topk": """
+        WITH w AS (
+            SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+            FROM w q JOIN w c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+        )
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+        ) WHERE rank <= 5""",
+}
