@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from lexspark.llm.common import map_batches, texts
 
 END = "</w>"
-#: Chunks kept in a worker's cache before it is emptied (bounds memory, not results).
-CACHE_CHUNKS = 300_000
+#: Chunks in a generation of a worker's cache (bounds memory, not results).
+CACHE_CHUNKS = 500_000
 
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Texts with other characters than these take the library's own normaliser.
@@ -72,12 +72,23 @@ class TrieBpe:
             self.made.setdefault(whole, k)
         self._fits: dict[tuple[int, int], bool] = {}
         self._whole: dict[int, bool] = {}
-        self.inner = {s: i for s, i in vocab.items() if not s.endswith(END)}
-        self.final = {s[: -len(END)]: i for s, i in vocab.items() if s.endswith(END)}
-        self.longest_inner = max(map(len, self.inner))
-        self.longest_final = max(map(len, self.final))
-        self.words: dict[str, list[int]] = {}
-        self.chunks: dict[str, tuple[bytes, bytes]] = {}
+        #: (left token << 20 | right token) -> whether right may follow left; -1 for none at left.
+        self._follows: dict[int, bool] = {}
+        # Tokens by their symbols from the last to the first; "" holds the token that begins there.
+        self.inner: dict = {}
+        self.final: dict = {}
+        for s, i in vocab.items():
+            node = self.final if s.endswith(END) else self.inner
+            for c in reversed(s.removesuffix(END)):
+                node = node.setdefault(c, {})
+            node[""] = i
+        self.raw = {i: i.to_bytes(4, "little") for i in self.strings}
+        self.words: dict[str, bytes] = {}
+        #: Chunks between white space: their ids, and (where decoding is asked for) their
+        #: decoded text; each with the generation before, so frequent ones stay.
+        self.chunks: dict[str, bytes] = {}
+        self.old_chunks: dict[str, bytes] = {}
+        self.decoded: dict[str, bytes] = {}
 
     def whole(self, token: int) -> bool:
         """Whether the token's own string encodes to just this token."""
@@ -119,14 +130,20 @@ class TrieBpe:
             self._fits[key] = ok
         return ok
 
+    def follows(self, left: int, right: int) -> bool:
+        """Whether an encoding that ends in ``left`` (-1: an empty one) may go on with ``right``."""
+        ok = self.whole(right) and (left < 0 or self.fits(left, right))
+        self._follows[left << 20 | right] = ok
+        return ok
+
     def learn(self, words: Iterable[str]) -> None:
         """Encode distinct words (as byte symbols) into ``self.words``.
 
         Sorted words enter the trie in depth-first order, so the path to the current
-        node is all of the trie that has to be kept: (symbol prefix length) ->
-        (last token, where it starts)."""
-        inner, final, fits, whole, out = self.inner, self.final, self.fits, self.whole, self.words
-        li, lf = self.longest_inner, self.longest_final
+        node is all of the trie that has to be kept: for each prefix, its last token and
+        where that starts. Only one token that ends at a node can follow the encoding of
+        the prefix before it; the shorter ones are tried first."""
+        inner, final, known, follows, out, raw = self.inner, self.final, self._follows.get, self.follows, self.words, self.raw
         last: list[int] = [-1]
         start: list[int] = [0]
         before = ""
@@ -136,62 +153,73 @@ class TrieBpe:
             while common < stop and before[common] == word[common]:
                 common += 1
             del last[common + 1 :], start[common + 1 :]
-            for end in range(common + 1, n):
-                for at in range(max(0, end - li), end):
-                    token = inner.get(word[at:end])
-                    if token is not None and (fits(last[at], token) and whole(token) if at else whole(token)):
-                        break
-                last.append(token)
-                start.append(at)
-            for at in range(max(0, n - lf), n):
-                token = final.get(word[at:])
-                if token is not None and (fits(last[at], token) and whole(token) if at else whole(token)):
-                    break
-            ids = [token]
+            for end in range(common + 1, n + 1):
+                node, at = (inner if end < n else final), end
+                while True:
+                    at -= 1
+                    node = node[word[at]]
+                    token = node.get("")
+                    if token is not None:
+                        left = last[at]
+                        ok = known(left << 20 | token)
+                        if ok is None:
+                            ok = follows(left, token)
+                        if ok:
+                            break
+                if end < n:
+                    last.append(token)
+                    start.append(at)
+            ids = [raw[token]]
             while at:
-                ids.append(last[at])
+                ids.append(raw[last[at]])
                 at = start[at]
             ids.reverse()
-            out[word] = ids
+            out[word] = b"".join(ids)
             before = word
 
     def _pretokens(self, chunk: str) -> list[str]:
         """A plain chunk without white space as words in byte symbols."""
+        chunk = chunk.lower()
+        if chunk.isascii():
+            # Printable ASCII stands for itself.
+            return [chunk] if chunk.isalpha() else _SPLIT.findall(chunk)
         symbols = self.symbols
-        return ["".join([symbols[b] for b in w.encode()]) for w in _SPLIT.findall(chunk.lower())]
-
-    def _pack(self, ids: list[int]) -> tuple[bytes, bytes]:
-        strings = self.strings
-        return b"".join([i.to_bytes(4, "little") for i in ids]), " ".join([strings[i] for i in ids]).encode()
+        return ["".join([symbols[b] for b in w.encode()]) for w in _SPLIT.findall(chunk)]
 
     def _learn_chunks(self, missing: set[str]) -> None:
         split = {c: self._pretokens(c) for c in missing}
         known = self.words
         self.learn({w for ws in split.values() for w in ws if w not in known})
+        chunks = self.chunks
         for c, ws in split.items():
-            self.chunks[c] = self._pack([i for w in ws for i in known[w]])
+            chunks[c] = known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])
 
-    def _encode_hard(self, text: str) -> list[int]:
+    def _text_of(self, ids: bytes) -> bytes:
+        strings = self.strings
+        return " ".join([strings[i] for i in memoryview(ids).cast("I")]).encode()
+
+    def _encode_hard(self, text: str) -> bytes:
         """Any characters: special tokens are cut out, the library's normaliser and
         splitter make the words, the trie encodes them."""
-        ids: list[int] = []
+        ids: list[bytes] = []
         for part in self._special_re.split(text) if self._special_re else [text]:
             if part in self.special:
-                ids.append(self.special[part])
+                ids.append(self.raw[self.special[part]])
             elif part:
                 flat = self.library.normalizer.normalize_str(part)
                 words = [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(flat)]
                 self.learn({w for w in words if w not in self.words})
-                ids += [i for w in words for i in self.words[w]]
-        return ids
+                ids += [self.words[w] for w in words]
+        return b"".join(ids)
 
-    def encode_batch(self, batch: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        """Of each text, its ids as little-endian 32-bit integers and its decoded text in UTF-8."""
+    def encode_batch(self, batch: list[str], decode: bool = True) -> Iterator[tuple[bytes, bytes]]:
+        """Of each text, its ids as little-endian 32-bit integers and (with ``decode``)
+        the text that they decode to in UTF-8."""
         if len(self.chunks) > CACHE_CHUNKS:
-            self.chunks.clear()
+            self.old_chunks, self.chunks = self.chunks, {}
             self.words.clear()
-        chunks = self.chunks
-        # ``words`` also fills from texts on the hard way; both are emptied together.
+            self.decoded.clear()
+        chunks, old = self.chunks, self.old_chunks
         split: list[list[str] | None] = []
         missing: set[str] = set()
         for text in batch:
@@ -201,14 +229,31 @@ class TrieBpe:
             if parts:
                 missing.update(parts)
         missing.difference_update(chunks)
+        if old:
+            kept = missing & old.keys()
+            for c in kept:
+                chunks[c] = old[c]
+            missing -= kept
         if missing:
             self._learn_chunks(missing)
+        decoded = self.decoded
         for text, parts in zip(batch, split, strict=True):
             if parts is None:
-                yield self._pack(self._encode_hard(text))
-            else:
-                found = [chunks[c] for c in parts]
-                yield b"".join([x for x, _ in found]), b" ".join([x for _, x in found])
+                ids = self._encode_hard(text)
+                yield ids, self._text_of(ids) if decode else b""
+                continue
+            ids = b"".join([chunks[c] for c in parts])
+            if not decode:
+                yield ids, b""
+                continue
+            try:
+                out = b" ".join([decoded[c] for c in parts])
+            except KeyError:
+                for c in parts:
+                    if c not in decoded:
+                        decoded[c] = self._text_of(chunks[c])
+                out = b" ".join([decoded[c] for c in parts])
+            yield ids, out
 
     def encode(self, text: str) -> list[int]:
         raw, _ = next(self.encode_batch([text]))

@@ -125,7 +125,7 @@ def pack_documents(df: DataFrame, path: str, end_id: int = 2, size: int = 4096,
             rows, names = texts(batch), batch.column("doc_id").to_pylist()
             for a, b in slices(rows):
                 full: list[list[Piece]] = []
-                for name, (ids, _) in zip(names[a:b], bpe.encode_batch(rows[a:b]), strict=True):
+                for name, (ids, _) in zip(names[a:b], bpe.encode_batch(rows[a:b], decode=False), strict=True):
                     ids += end
                     docs[count] = (name, ids)
                     n = len(ids) // 4
