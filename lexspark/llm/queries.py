@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspark.llm import bpe, lm_score, media, packing, quality, suffix_dedup, topk, toxicity
+from lexspark.llm import bpe, lm_score, media, ngram_join, packing, quality, suffix_dedup, topk, toxicity
 
 
 def tokenizer_file() -> str:
@@ -23,6 +23,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(_table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents"))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(_table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_ngram_join": op2_ngram_join,
     "op3_media_columns": op3_media_columns,
     "op4_topk": op4_topk,
     "op5_bpe": op5_bpe,
