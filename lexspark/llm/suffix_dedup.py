@@ -38,7 +38,7 @@ from lexspark.llm.tokens import Hashed, mix, spans
 
 LENGTH, GRAM = 100, 40
 #: Bytes of text whose anchors make up a group, and fetched contexts in a group.
-GROUP_BYTES, GROUP_CONTEXTS = 16 << 20, 20_000
+GROUP_BYTES, GROUP_CONTEXTS = 8 << 20, 4_000
 NONE = -(2**63)
 
 _FOUND = "doc long, kind int, gram long, pos long, lo int, hi int"
@@ -156,7 +156,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     def gather(batches):
         """Rows (group, anchors, settled): packed anchors by q-gram, packed ranges by document."""
         for batch in batches:
-            for part in spans(batch, most=8 << 20):
+            for part in spans(batch, most=3 << 20):
                 names = np.asarray(part.column("doc").to_numpy(zero_copy_only=False), np.int64)
                 g, c, side, row, pos, lo, hi = anchors(Hashed(part.column("text"), fold=False), length, gram)
                 if not len(g):
