@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspark.llm import bpe, lm_score, media, ngram_join, packing, quality, suffix_dedup, topk, toxicity
+from lexspark.llm import bpe, lm_score, media, ngram_join, packing, passage_dedup, quality, suffix_dedup, topk, toxicity
 
 
 def tokenizer_file() -> str:
@@ -53,6 +53,10 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In-domain: the texts of ``benchmark``; general: all documents."""
     docs = _table(spark, sf_dir, "documents")
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
+    "op9_passage_dedup": op9_passage_dedup,
     "op10_lm_score": op10_lm_score,
 }
 
