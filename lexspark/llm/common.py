@@ -11,6 +11,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _PACKAGE = Path(__file__).resolve().parents[1]
 
@@ -33,7 +34,7 @@ def ship(spark: SparkSession) -> None:
 def map_batches(
     df: DataFrame,
     fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-    schema: str,
+    schema: str | StructType,
 ) -> DataFrame:
     """``mapInArrow`` with the package sent along."""
     ship(df.sparkSession)

@@ -203,6 +203,20 @@ def score(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
     return map_batches(docs.select("doc_id", "text", chars.alias("n_chars")), run, "doc_id long, score double")
 
 
+def keep_good(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.3) -> DataFrame:
+    """The rows, with all columns, whose text scores ``threshold`` or more."""
+    known = "n_chars" in docs.columns
+
+    def run(batches):
+        for batch in batches:
+            for part in spans(batch):
+                chars = _chars(part) if known else np.full(part.num_rows, np.nan)
+                p = _sigmoid(model.logits(*inputs(part.column("text"), chars)))
+                yield part.filter(pa.array(p >= threshold))
+
+    return map_batches(docs, run, docs.schema)
+
+
 def predict(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.3) -> DataFrame:
     """``doc_id, held_out, score, predicted``."""
     return score(docs, model).select(

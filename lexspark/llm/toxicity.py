@@ -270,22 +270,38 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     return fit([(np.frombuffer(r.words, np.int32).reshape(-1, KINDS), float(r.y)) for r in found], float(share), **options)
 
 
+def _probabilities(column: pa.Array, net: BiGru) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text, its probability, the number of its windows, and the most toxic one."""
+    rows, at = word_inputs(column)
+    owner, begin, count = windows(at)
+    logit = net.logits(rows, begin, count)
+    first = np.searchsorted(owner, np.arange(len(column) + 1))
+    top = np.maximum.reduceat(logit, first[:-1]).astype(np.float64)
+    hit = np.flatnonzero(logit == top[owner])
+    place = hit[np.searchsorted(hit, first[:-1])] - first[:-1]
+    return 1 / (1 + np.exp(-np.clip(net.slope * top + net.shift, -30, 30))), np.diff(first), place
+
+
+def keep_clean(docs: DataFrame, net: BiGru, threshold: float = 0.5) -> DataFrame:
+    """The rows, with all columns, whose text scores below ``threshold``."""
+
+    def run(batches):
+        for batch in batches:
+            for part in spans(batch, most=1 << 20):
+                yield part.filter(pa.array(_probabilities(part.column("text"), net)[0] < threshold))
+
+    return map_batches(docs, run, docs.schema)
+
+
 def score(docs: DataFrame, net: BiGru) -> DataFrame:
     """``doc_id, score, n_windows, worst_window`` (the place of the most toxic window)."""
 
     def run(batches):
         for batch in batches:
             for part in spans(batch, most=1 << 20):
-                rows, at = word_inputs(part.column("text"))
-                owner, begin, count = windows(at)
-                logit = net.logits(rows, begin, count)
-                first = np.searchsorted(owner, np.arange(part.num_rows + 1))
-                top = np.maximum.reduceat(logit, first[:-1]).astype(np.float64)
-                hit = np.flatnonzero(logit == top[owner])
-                place = hit[np.searchsorted(hit, first[:-1])] - first[:-1]
-                p = 1 / (1 + np.exp(-np.clip(net.slope * top + net.shift, -30, 30)))
+                p, each, place = _probabilities(part.column("text"), net)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), pa.array(p, pa.float64()), pa.array(np.diff(first), pa.int64()), pa.array(place, pa.int64())],
+                    [part.column("doc_id").cast(pa.int64()), pa.array(p, pa.float64()), pa.array(each, pa.int64()), pa.array(place, pa.int64())],
                     names=["doc_id", "score", "n_windows", "worst_window"],
                 )
 
