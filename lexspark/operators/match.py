@@ -18,6 +18,8 @@ def places(index: Index, words: tuple[str, ...]) -> DataFrame:
     whether it stands in the title, ``t{i}``, of documents with any of them."""
     terms = list(dict.fromkeys(words))
     hits = index.postings.where(F.col("term").isin(terms))
+    if not terms:
+        return hits.select("chunk_id", "doc_id").where(F.lit(False))
     aggs = []
     for i, w in enumerate(terms):
         here = F.col("term") == w
@@ -65,6 +67,8 @@ def match(index: Index, query: Query, everywhere: bool = True) -> DataFrame:
     """Documents that match: ``chunk_id, doc_id`` and the word columns. ``everywhere``:
     only in chunks that hold every word of the query, OR alternatives included."""
     found = places(index, query.words).where(condition(query))
+    if query.tree is None:
+        return found
     return found.join(complete_chunks(index, query.words), "chunk_id", "left_semi") if everywhere else found
 
 

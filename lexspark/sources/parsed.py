@@ -11,8 +11,8 @@ from lexspark.functions import urls as U
 def read_parsed(spark: SparkSession, path: str) -> DataFrame:
     """All ``.txt`` files of a folder: ``doc_id`` (their order by name within 2**33 per
     input partition), ``url, title_words, words``. Malformed files (no counts) go."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(path)
-    lines = F.split(F.rtrim(F.lit("\n"), F.col("value")), "\n")
+    files = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True)
+    lines = F.split(F.rtrim(F.col("value"), F.lit("\n")), "\n")
     rows = files.select(F.monotonically_increasing_id().alias("doc_id"), lines.alias("l"))
     rows = rows.select("doc_id", "l", F.get("l", F.lit(0)).alias("url"), F.get("l", F.lit(1)).try_cast("int").alias("nt"), F.get("l", F.lit(2)).try_cast("int").alias("nb"))
     title = F.transform(F.slice("l", F.lit(4), F.col("nt")), lambda w: F.regexp_replace(w, "^#", ""))
