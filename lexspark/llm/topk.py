@@ -120,7 +120,7 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, ids: np.nd
                 low = np.maximum(best.floor[live[k0 : k0 + 256]], s.astype(float))
             else:
                 low = best.floor[live[k0 : k0 + 256]]
-            r, c = np.nonzero(part >= low[:, None])
+            r, c = np.nonzero((part >= low[:, None]) & np.isfinite(part))  # not the query's own row
             scores = exact_scores(q[live[k0 + r]], v[a + c])
             keep = scores >= best.floor[live[k0 + r]]
             for i, s, j in zip(live[k0 + r[keep]].tolist(), scores[keep].tolist(), ids[a + c[keep]].tolist(), strict=True):
