@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexspark.llm.common import map_batches, ship
+from lexspark.llm.common import map_batches, ship, stored
 
 HEAD = 2048
 BLOCK = 16384
@@ -133,7 +133,8 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k:
     highest inner products among all other rows."""
     spark = df.sparkSession
     ship(spark)
-    vectors = integer_vectors(df, id_col, vec_col, scale)
+    # Written once: the statistics, the head and both sides of the search read it.
+    vectors = stored(integer_vectors(df, id_col, vec_col, scale))
     n, dim = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
     empty = "query_id long, rank int, vec_id long, score long"
     if not n or not dim:
@@ -157,8 +158,9 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k:
     edges = sorted(set(vectors.agg(F.percentile_approx("norm", [i / bands for i in range(1, bands)] or [0.5], 10000)).first()[0])) if bands > 1 else []
     band = sum((F.when(F.col("norm") < e, 1).otherwise(0) for e in edges), F.lit(0))
     sized = vectors.withColumn("band", band)
-    splits = {r.band: -(-r["count"] // BLOCK) for r in sized.groupBy("band").count().collect()}
-    limits = {r.band: r.top for r in sized.groupBy("band").agg(F.max("norm").alias("top")).collect()}
+    found = sized.groupBy("band").agg(F.count("*").alias("n"), F.max("norm").alias("top")).collect()
+    splits = {r.band: -(-r.n // BLOCK) for r in found}
+    limits = {r.band: r.top for r in found}
     split = F.coalesce(*[F.when(F.col("band") == b, F.pmod(F.xxhash64("vec_id"), F.lit(s))) for b, s in splits.items()])
     blocks = sized.select("vec_id", "v", F.shiftleft(F.col("band").cast("long"), 32).bitwiseOR(split).alias("block"))
 
