@@ -26,7 +26,7 @@ from lexspark.llm.common import map_batches, texts
 
 END = "</w>"
 #: Chunks in a generation of a worker's cache (bounds memory, not results).
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 200_000
 
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Texts with other characters than these take the library's own normaliser.
