@@ -26,7 +26,7 @@ from lexspark.llm.common import map_batches, texts
 
 END = "</w>"
 #: Chunks in a generation of a worker's cache (bounds memory, not results).
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 500_000
 
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Texts with other characters than these take the library's own normaliser.
@@ -255,6 +255,11 @@ class TrieBpe:
                 out = b" ".join([decoded[c] for c in parts])
             yield ids, out
 
+    def forget(self) -> None:
+        """Give up the caches; a worker that is used again keeps none of their memory."""
+        for cache in (self.chunks, self.old_chunks, self.words, self.decoded):
+            cache.clear()
+
     def encode(self, text: str) -> list[int]:
         raw, _ = next(self.encode_batch([text]))
         return [int.from_bytes(raw[i : i + 4], "little") for i in range(0, len(raw), 4)]
@@ -294,6 +299,7 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
                     [batch.column(id_col).slice(a, b - a), pa.array([x for x, _ in out], pa.binary()), pa.array([y.decode() for _, y in out], pa.string())],
                     names=[id_col, "ids", "decoded"],
                 )
+        bpe.forget()
 
     kind = dict(df.dtypes)[id_col]
     return map_batches(df.select(id_col, text_col), run, f"{id_col} {kind}, ids binary, decoded string")
@@ -315,5 +321,6 @@ def encode_digests(df: DataFrame, path: str) -> DataFrame:
                 [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(h, pa.string()), pa.array(d, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        bpe.forget()
 
     return map_batches(df.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -143,6 +143,7 @@ def pack_documents(df: DataFrame, path: str, end_id: int = 2, size: int = 4096,
                     yield table(full)
                 keep = {doc for doc, _, _ in rest}
                 docs = {k: v for k, v in docs.items() if k in keep}
+        bpe.forget()
         packed, rest = pack_pool(rest, size)
         packed += pack_tail(rest, size)
         if packed:
