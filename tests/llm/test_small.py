@@ -233,6 +233,29 @@ def test_passages(docs, empty):
     assert passage_dedup.report(empty).count() == 0 and passage_dedup.dedup(empty).count() == 0
 
 
+def test_passages_miss_no_exact_repeat(spark):
+    """Every string of 50 words that an earlier document holds is reported, however many
+    documents share a part of it."""
+    a, b = words(25, 300), words(30, 301)
+    lines = (a, b, a[-10:] + b[:10])
+    rows = [words(20 + k % 30, 1000 + k) + lines[k % 3] + words(25, 2000 + k) for k in range(90)]
+    for k in range(40):
+        own = words(32, 400 + k)
+        rows += [words(30, 3000 + 10 * k + q) + own[:16] + a + own[16:] + words(20, 3005 + 10 * k + q) for q in range(2)]
+    rows += [words(35, 5000 + k) + a + b + words(35, 5100 + k) for k in range(3)]
+    random.Random(1).shuffle(rows)
+    covered = {}
+    for r in passage_dedup.report(spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], "doc_id long, text string").repartition(4)).collect():
+        covered.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    first, n = {}, 0
+    for d, w in enumerate(rows):
+        for k in range(len(w) - 49):
+            if first.setdefault(tuple(w[k : k + 50]), d) < d:
+                assert covered.get(d, set()) >= set(range(k, k + 50)), (d, k)
+                n += 1
+    assert n > 300
+
+
 def test_compact_windows_hold_every_run():
     r = np.random.default_rng(4)
     value, offsets = r.integers(0, 1 << 63, 240).astype(np.uint64), np.array([0, 100, 103, 240])
