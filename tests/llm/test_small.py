@@ -256,6 +256,23 @@ def test_passages_miss_no_exact_repeat(spark):
     assert n > 300
 
 
+def test_passages_find_edited_copies(spark):
+    """Recall on edited passages against verification of all pairs."""
+    r = random.Random(7)
+    rows = []
+    for k in range(240):
+        own = words(60, 9000 + k)
+        share = (0.04, 0.1, 0.15)[k % 3]
+        edited = [r.choice(VOCABULARY) if r.random() < share else w for w in own]
+        rows += [words(40, 9300 + k) + own + words(30, 9600 + k), words(25, 9900 + k) + edited + words(40, 10200 + k)]
+    number = {w: k for k, w in enumerate(VOCABULARY)}
+    code = [np.array([number[w] for w in row], np.uint64) for row in rows]
+    want = {k for k in range(1, 480, 2) if passage_dedup.align(code[k], code[k - 1], 50, 5, 0.7)}
+    got = {(x.doc_id, x.source_doc_id) for x in passage_dedup.report(spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], "doc_id long, text string")).collect()}
+    assert len(want) > 180 and {d for d, _ in got} <= want
+    assert len({(k, k - 1) for k in want} & got) >= 0.98 * len(want)
+
+
 def test_compact_windows_hold_every_run():
     r = np.random.default_rng(4)
     value, offsets = r.integers(0, 1 << 63, 240).astype(np.uint64), np.array([0, 100, 103, 240])
