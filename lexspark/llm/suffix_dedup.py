@@ -15,7 +15,8 @@ row of a smaller doc_id, or before in the same row. All is judged on the input.
    the updates of the one before, until they tell strings of ``length`` bytes apart. In
    each final bucket all but the earliest suffix are repeats.
 
-Identity of contexts rests on 96 bits of hash, that of partly shared strings on bytes.
+Identity of contexts rests on a hash of 64 bits over the whole context, beside that of
+the q-gram; that of partly shared strings on bytes.
 Null text counts as empty; a null doc_id comes before all others. Rows that share a
 doc_id and text are one document that is reported for each row (of different texts
 under one id, each row is cut by the ranges found for that id). Texts shorter than
@@ -45,12 +46,12 @@ _FOUND = "doc long, kind int, gram long, pos long, lo int, hi int"
 
 
 def anchors(h: Hashed, length: int = LENGTH, gram: int = GRAM):
-    """Of every anchor: q-gram hash, context hash (32 bits), half-context hashes (2 x 8
+    """Of every anchor: q-gram hash, context hash (64 bits), half-context hashes (2 x 8
     bits), row, place, first and last start of the strings that it stands for."""
     n = len(h.data)
     none = np.zeros(0, np.int64)
     if n < length:
-        return none.astype(np.uint64), none.astype(np.uint32), none.astype(np.uint16), none, none, none, none
+        return none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint16), none, none, none, none
     g = mix((h.sums[gram:] - h.sums[:-gram]) * h.inv[: n - gram + 1])
     # The leftmost of the least: compared by 32 bits of hash, then by place.
     m = (g >> np.uint64(32) << np.uint64(32)) | np.arange(len(g), dtype=np.uint64)
@@ -63,16 +64,16 @@ def anchors(h: Hashed, length: int = LENGTH, gram: int = GRAM):
     size = np.diff(h.offsets)
     start = np.flatnonzero(np.repeat(h.offsets[1:], size)[: len(m)] >= np.arange(len(m)) + length)
     if not len(start):
-        return none.astype(np.uint64), none.astype(np.uint32), none.astype(np.uint16), none, none, none, none
+        return none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint16), none, none, none, none
     at = (m[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     lo, hi, at = start[first], start[np.r_[first[1:] - 1, len(at) - 1]], at[first]
     row = np.searchsorted(h.offsets, at, "right") - 1
     left, right = np.maximum(at - (width - 1), h.offsets[row]), np.minimum(at + length, h.offsets[row + 1])
-    context = mix(h.of(left, right) + (at - left).astype(np.uint64) * np.uint64(1000003), 1) >> np.uint64(32)
+    context = mix(h.of(left, right) + (at - left).astype(np.uint64) * np.uint64(1000003), 1)
     half = (width - 1) // 2
     side = mix(h.of(np.maximum(at - half, left), at), 2) >> np.uint64(56) << np.uint64(8) | mix(h.of(at + gram, np.minimum(at + gram + half, right)), 3) >> np.uint64(56)
-    return g[at], context.astype(np.uint32), side.astype(np.uint16), row, at - h.offsets[row], lo - h.offsets[row], hi - h.offsets[row]
+    return g[at], context, side.astype(np.uint16), row, at - h.offsets[row], lo - h.offsets[row], hi - h.offsets[row]
 
 
 def _earliest(gram, context, doc, pos):
@@ -197,7 +198,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
                 p += out.nbytes
                 return out
 
-            ids, g, c, side = take(np.int64, k), take(np.uint64, n), take(np.uint32, n), take(np.uint16, n)
+            ids, g, c, side = take(np.int64, k), take(np.uint64, n), take(np.uint64, n), take(np.uint16, n)
             at = np.ascontiguousarray(take(np.uint8, 4 * n).reshape(4, n).T).view(np.uint32).ravel()
             pos = np.ascontiguousarray(take(np.uint8, 4 * n).reshape(4, n).T).view(np.uint32).ravel().astype(np.int64)
             for x, v in zip(cols, (g, c, side, ids[at], pos, pos - take(np.uint8, n), pos - take(np.uint8, n)), strict=True):

@@ -130,6 +130,13 @@ def test_suffix_dedup_equals_brute_force(docs, empty, spark):
     assert suffix_dedup.dedup(docs).count() == docs.count()
 
 
+def test_contexts_differ_in_their_hash():
+    r = np.random.default_rng(6)
+    text = pa.array(r.integers(97, 123, (200_000, 100), np.uint8).view("S100").ravel().astype(str).tolist())
+    _, context, *_ = suffix_dedup.anchors(suffix_dedup.Hashed(text, fold=False))
+    assert len(np.unique(context)) == len(context) == 200_000
+
+
 def test_bucket_pointer_refinement():
     r = random.Random(2)
     data = np.array([r.choice(b"ab") for _ in range(3000)], np.uint8)
