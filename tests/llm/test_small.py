@@ -177,6 +177,12 @@ def test_hot_groups_lose_no_link(spark):
     assert len(got) == 80 and {(r.class_id, r.n_links) for r in got} == {(0, 79)}
 
 
+def test_every_bin_has_a_tree(spark):
+    rows = [(2 * k + q, f"w{k}" + " " * (1 + q) + f"v{k}") for k in range(300) for q in range(2)]
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.class_id, r.n_links) for r in got} == {(k, k - k % 2, 1) for k in range(600)}
+
+
 def test_media_round_trip(docs, empty):
     want = []
     for d, t in rows_of(docs):
