@@ -177,6 +177,16 @@ def test_hot_groups_lose_no_link(spark):
     assert len(got) == 80 and {(r.class_id, r.n_links) for r in got} == {(0, 79)}
 
 
+def test_links_at_the_threshold(spark):
+    """Recall of pairs whose Jaccard similarity is 0.508."""
+    rows = []
+    for k in range(300):
+        w = [f"{k}w{i}" for i in range(100)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[:40] + [f"{k}v{i}" for i in range(30)] + w[70:]))]
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).where("n_links = 1").count() / 2
+    assert got >= 0.975 * 300
+
+
 def test_every_bin_has_a_tree(spark):
     rows = [(2 * k + q, f"w{k}" + " " * (1 + q) + f"v{k}") for k in range(300) for q in range(2)]
     got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
