@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
+from lexspark.workers import ship
 
 SECTIONS = frozenset(("script", "style", "svg"))
 DISCARD = frozenset(
@@ -131,6 +132,7 @@ _LINK = "array<struct<url:string,anchor:array<string>>>"
 
 def parse_pages(pages: DataFrame, embed: str = "href") -> DataFrame:
     """``page_id, url, title_words, words, links, base``. Null html is an empty page."""
+    ship(pages.sparkSession)
     link = pa.list_(pa.struct([("url", pa.string()), ("anchor", pa.list_(pa.string()))]))
 
     def run(batches):

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lexspark.functions import urls as U
+from lexspark.workers import ship
 
 
 def url_stream(spark: SparkSession, path: str, schema: str = "page_id long, url string, html string", per_trigger: int = 1) -> DataFrame:
@@ -28,6 +29,7 @@ def new_urls(stream: DataFrame) -> DataFrame:
 
 def capped(stream: DataFrame, cap: int) -> DataFrame:
     """The first ``cap`` URLs of each host; the count is the host's state."""
+    ship(stream.sparkSession)
 
     def admit(key, parts, state: GroupState):
         n = state.get[0] if state.exists else 0
