@@ -2,33 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-_PACKAGE = Path(__file__).resolve().parents[1]
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per context, so that functions
-    pickled by reference can be imported there whatever their path is."""
-    sc = spark.sparkContext
-    if getattr(sc, "_lexspark_sent", False):
-        return
-    fd, name = tempfile.mkstemp(prefix="lexspark", suffix=".zip")
-    os.close(fd)
-    with zipfile.ZipFile(name, "w") as z:
-        for p in _PACKAGE.rglob("*.py"):
-            z.write(p, p.relative_to(_PACKAGE.parent).as_posix())
-    sc.addPyFile(name)
-    sc._lexspark_sent = True
+from lexspark.workers import shared_root, ship
 
 
 def map_batches(
@@ -52,18 +33,19 @@ def text_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which all executors share.
-    Where that is unset (tests, one machine) a temporary folder is made the setting."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='lexspark-shared')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    """A fresh folder in the one that all executors share."""
+    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps restart
-    from the table, not from the start of the lineage, when an executor is lost."""
-    path = shared_dir(df.sparkSession)
+    from the table, not from the start of the lineage, when an executor is lost.
+    Shuffle files behind the table are no longer needed; Spark removes those whose plans
+    the driver's JVM has collected, so it is asked to collect."""
+    spark = df.sparkSession
+    path = shared_dir(spark)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    del df
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
