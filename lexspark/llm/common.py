@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -37,15 +39,41 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{shared_root(spark)}/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def _release(spark: SparkSession) -> None:
+    """Spark removes the shuffle files of plans that the driver's JVM has collected; it
+    is asked to collect. What the first time finds is let go by the second."""
+    for k in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        if not k:
+            time.sleep(0.2)
+
+
+def stored(df: DataFrame, release: bool = True) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps restart
     from the table, not from the start of the lineage, when an executor is lost.
-    Shuffle files behind the table are no longer needed; Spark removes those whose plans
-    the driver's JVM has collected, so it is asked to collect."""
+    ``release``: let go of the shuffle files behind it."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     schema = df.schema
     del df
-    spark.sparkContext._jvm.System.gc()
+    if release:
+        _release(spark)
     return spark.read.schema(schema).parquet(path)
+
+
+def placed(df: DataFrame, key: str, groups: int) -> DataFrame:
+    """``df`` as a table in buckets by ``key``: groupings by the key read it without a
+    shuffle, however often. The table's name goes at once; its files stay."""
+    spark = df.sparkSession
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    n = max(1, min(groups, most))
+    name = f"lexspark_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", shared_dir(spark)).option("compression", "zstd").saveAsTable(name)
+    del df
+    out = spark.table(name)
+    out.schema  # resolved before the name goes
+    spark.sql(f"DROP TABLE {name}")
+    _release(spark)
+    return out
