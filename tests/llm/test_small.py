@@ -170,11 +170,14 @@ def test_ngram_join_equals_brute_force(docs, empty):
     assert ngram_join.keep_one(empty).count() == 0 and ngram_join.join(empty).count() == 0
 
 
-def test_hot_groups_lose_no_link(spark):
+def test_near_copies_are_one_class(spark):
+    """A cluster is connected by about one link a text, not by all of its pairs."""
     base = words(120, 21)
-    rows = [(k, " ".join(base[:-1] + [f"w{k}"])) for k in range(80)]
-    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len(got) == 80 and {(r.class_id, r.n_links) for r in got} == {(0, 79)}
+    rows = [(k, " ".join(base[:-1] + [f"w{k}"])) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.join(df).collect()
+    assert len(got) == 3000 and {r.class_id for r in got} == {0} and min(r.n_links for r in got) >= 1
+    assert sum(r.n_links for r in got) < 4 * 3000
 
 
 def test_links_at_the_threshold(spark):
