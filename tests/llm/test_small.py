@@ -110,12 +110,22 @@ def test_packing_balances_cost():
     assert all(sum(n for _, _, n in r) == 1000 for r in rows) and sum(n for _, _, n in over) < 1000
 
 
-def test_suffix_dedup_equals_brute_force(docs, empty, spark):
+@pytest.mark.parametrize("group_contexts", [suffix_dedup.GROUP_CONTEXTS, 1])
+def test_suffix_dedup_equals_brute_force(docs, empty, spark, monkeypatch, group_contexts):
+    """Also with all q-grams taken for hot ones, rows without an id, and ids of two texts."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 1 << 60 if group_contexts == 1 else suffix_dedup.HOT)
     extra = [(100 + k, t) for k, t in enumerate(["x" * 99, "x" * 100, PASSAGE[:130], PASSAGE[15:160], PASSAGE[:100] + PASSAGE[40:150]])]
-    more = docs.select("doc_id", "text").where("doc_id IS NOT NULL").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(more).collect()}
+    extra += [(100 + 7 * k, PASSAGE[k : 150 + 2 * k] + f" {k}") for k in range(2, 40)]
+    extra += [(None, "no id, and " + PASSAGE[:200]), (5, "under 5, " + " ".join(words(60, 77)) + PASSAGE[100:300])]
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    held, ranges = suffix_dedup.repeats(more, group_contexts=group_contexts)
+    got = sorted((tuple(r[c] for c in columns) for r in suffix_dedup.cut(held, ranges).collect()), key=str)
+    # The order of texts under one id is that of a hash.
+    known = suffix_dedup.names(more, "doc_id", "text")
+    named = {(r.name, r.doc_id, r.text or "") for r in known.of(more, F.col("doc_id"), F.col("text")).collect()}
     seen, want = set(), {}
-    for d, t in sorted(set(rows_of(more))):
+    for _, d, t in sorted(named, key=lambda x: x[0]):
         b = t.encode()
         gone = bytearray(len(b))
         for p in range(len(b) - 99):
@@ -124,8 +134,8 @@ def test_suffix_dedup_equals_brute_force(docs, empty, spark):
                 gone[p : p + 100] = b"\1" * 100
             seen.add(w)
         kept = bytes(x for x, g in zip(b, gone) if not g)
-        want[d] = (len(b), sum(gone), sum(1 for run in bytes(gone).split(b"\0") if run), hashlib.sha256(kept).hexdigest())
-    assert got == want
+        want[d, t] = (d, len(b), sum(gone), sum(1 for run in bytes(gone).split(b"\0") if run), hashlib.sha256(kept).hexdigest())
+    assert got == sorted((want[d, t] for d, t in [*rows_of(docs), *extra]), key=str)
     assert suffix_dedup.dedup(empty).count() == 0
     assert suffix_dedup.dedup(docs).count() == docs.count()
 
@@ -234,15 +244,17 @@ def test_top_k_equals_brute_force(spark):
     r = np.random.default_rng(1)
     rows = [(k, [float(x) for x in r.normal(0, 1 + k % 3, 8).round(1)]) for k in range(300)]
     rows += [(1000, None), (1050, [1.0, None]), (1100, [float("nan")] * 8), (1150, [float("inf")] * 8), (None, [1.0] * 8), rows[5], (301, rows[7][1]), (350, rows[50][1])]
+    rows += [(350, [-1e12] + rows[50][1][1:]), (50, rows[51][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
-    good = {k: np.floor(np.array(v, np.float32).astype(float) * 256) for k, v in rows if k is not None and v and all(x is not None and np.isfinite(x) for x in v)}
+    good = [(k, np.floor(np.array(v, np.float32).astype(float) * 256)) for k, v in rows if k is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for q in (k for k in good if k % 50 == 0):
-        s = sorted((-int(good[q] @ good[k]), k) for k in good if k != q)[:5]
-        want += [(q, i + 1, k, -x) for i, (x, k) in enumerate(s)]
+    for i, (q, x) in enumerate(good):
+        if q % 50 == 0:
+            s = sorted((-sum(int(a) * int(b) for a, b in zip(x, y)), k) for j, (k, y) in enumerate(good) if j != i)[:5]
+            want += [(q, i + 1, k, min(-x, 2**63 - 1)) for i, (x, k) in enumerate(s)]
     assert sorted(map(tuple, topk.top_k(df).collect())) == sorted(want)
     assert topk.top_k(df.where("vec_id < 0")).count() == 0
-    assert topk.top_k(df.where("vec_id IN (50, 51, 52)")).count() == 2
+    assert topk.top_k(df.where("vec_id IN (100, 101, 102)")).count() == 2
 
 
 def test_passages(docs, empty):
@@ -299,6 +311,68 @@ def test_passages_find_edited_copies(spark):
     assert len({(k, k - 1) for k in want} & got) >= 0.98 * len(want)
 
 
+def edited_pairs(levels, each, length=80):
+    """Pairs of documents with a passage, in the second one with words changed at even
+    distances so that the words' Jaccard similarity is the level."""
+    r = random.Random(9)
+    rows = []
+    for k in range(each * len(levels)):
+        own = [f"{w}{k}" if q % 3 == 0 else w for q, w in enumerate(words(length, 20_000 + k))]
+        level = levels[k % len(levels)]
+        n = round(length * (1 - level) / (1 + level))
+        edited = list(own)
+        for q in range(n):
+            edited[int((q + r.random()) * length / n)] = f"new{k}x{q}"
+        rows += [words(40, 30_000 + k) + own + words(30, 40_000 + k), words(25, 50_000 + k) + edited + words(40, 60_000 + k)]
+    return [(k, " ".join(w)) for k, w in enumerate(rows)]
+
+
+def test_passage_recall_at_levels(spark):
+    """Pairs found at levels of similarity, among those that verification accepts."""
+    levels, each = (0.95, 0.88, 0.8, 0.76, 0.72), 60
+    rows = edited_pairs(levels, each)
+    code = {w: k for k, w in enumerate({x for _, t in rows for x in t.split()})}
+    number = [np.array([code[x] for x in t.split()], np.uint64) for _, t in rows]
+    want = {k for k in range(1, len(rows), 2) if passage_dedup.align(number[k], number[k - 1], 50, 5, 0.7)}
+    got = {x.doc_id for x in passage_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect() if x.source_doc_id == x.doc_id - 1}
+    assert got <= want
+    for q, level in enumerate(levels):
+        mine = {k for k in want if (k // 2) % len(levels) == q}
+        assert len(mine & got) >= 0.9 * len(mine), (level, len(mine), len(mine & got))
+    assert len(want) > 0.7 * len(rows) / 2
+
+
+def test_popular_passages_with_edits(spark):
+    """Of a passage that many documents hold, each with its own edits, nearly all are found."""
+    r = random.Random(4)
+    base = words(70, 800)
+    rows = [(k, " ".join(words(30, 70_000 + k) + [r.choice(VOCABULARY) if r.random() < 0.06 else w for w in base] + words(30, 80_000 + k))) for k in range(150)]
+    got = {x.doc_id for x in passage_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) >= 0.95 * 149
+
+
+def test_passages_do_not_depend_on_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(passage_dedup, "GROUP_BYTES", 20_000)
+    monkeypatch.setattr(passage_dedup, "ASKS", 5)
+    rows = edited_pairs((0.9, 0.8), 30) + [(1000 + k, " ".join(words(20 + k % 7, 90_000 + k) + words(60, 91_000 + k % 3) + words(20, 92_000 + k))) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [sorted(map(tuple, passage_dedup.report(df.repartition(n)).collect())) for n in (1, 8)]
+    assert found[0] == found[1] and len(found[0]) > 60
+
+
+def test_passages_under_one_id(spark):
+    """Rows that share an id, or have none, are documents of their own; other columns of
+    any name pass through."""
+    shared = " ".join(words(80, 501))
+    rows = [(1, shared + " one", 1), (5, " ".join(words(60, 502)), 2), (5, " ".join(words(30, 503)) + " " + shared, 3), (None, " ".join(words(70, 504)), 4), (None, " ".join(words(20, 505)), 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _runs int").withColumn("name", F.col("_runs")).withColumn("place", F.lit("x"))
+    out = passage_dedup.dedup(df)
+    assert out.columns == df.columns
+    text = {r._runs: r.text for r in out.collect()}
+    assert len(text) == 5 and text[1] == rows[0][1] and text[3].split() == words(30, 503) and all(text[k] == rows[k - 1][1] for k in (2, 4, 5))
+    assert sorted(r._runs for r in ngram_join.keep_one(df).collect()) == [1, 2, 4, 5]  # 3 is near 1
+
+
 def test_compact_windows_hold_every_run():
     r = np.random.default_rng(4)
     value, offsets = r.integers(0, 1 << 63, 240).astype(np.uint64), np.array([0, 100, 103, 240])
@@ -311,16 +385,62 @@ def test_compact_windows_hold_every_run():
                 assert ((row == k) & (at == c) & (lo <= a) & (hi >= b)).sum() == 1
 
 
-def test_lm_scores(docs, empty, spark):
-    inside = spark.createDataFrame([(" ".join(words(400, 50)),)] * 3, "text string")
-    a, b = lm_score.dictionary(inside), lm_score.dictionary(docs)
-    assert len(b) <= lm_score.DICTIONARY and lm_score.dictionary(empty) == b""
-    probe = spark.createDataFrame([(1, " ".join(words(120, 50))), (2, " ".join(words(120, 6))), (3, None)], "doc_id long, text string")
-    got = {r.doc_id: r.score for r in lm_score.score(probe, a, b).collect()}
-    assert got[1] > got[2] and got[3] == 0
-    assert lm_score.score(docs, b"", b).count() == docs.count()
-    counts = {bytes(r.word): r.n for r in lm_score.word_counts(inside).collect()}
-    assert sum(counts.values()) == 1200
+def test_lm_dictionary(docs, empty, spark):
+    d = lm_score.dictionary(docs)
+    counts = {}
+    for _, t in rows_of(docs):
+        for w in t.encode().split():
+            counts[w] = counts.get(w, 0) + 1
+    assert sum(r.n for r in lm_score.word_counts(docs).collect()) == sum(counts.values())
+    best = sorted((w for w in counts if len(w) < 1000), key=lambda w: (-counts[w] * len(w), w))
+    for size in (1000, lm_score.DICTIONARY):
+        want, used = [], 0
+        for w in sorted((w for w in counts if len(w) < size), key=lambda w: (-counts[w] * len(w), w)):
+            if used + len(w) + 1 > size:
+                break
+            want.append(w)
+            used += len(w) + 1
+        assert lm_score.dictionary(docs, size=size) == b" ".join(reversed(want))
+    assert best and len(d) <= lm_score.DICTIONARY and lm_score.dictionary(empty) == b""
+
+
+def test_lm_scores_equal_brute_force(docs, empty, spark):
+    """Sizes recomputed with phrases found by search among all texts."""
+    import zstandard
+
+    inside = spark.createDataFrame([(" ".join(words(300, 6)[:150]),), (" ".join(words(40, 50)),), (None,)], "text string")
+    twice = [(70 + k, " ".join(words(120, 700 + k // 2) + [f"{k}"])) for k in range(6)] + [(5, "also five " + " ".join(words(50, 710))), (None, "also none")]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(twice, "doc_id long, text string"))
+    got = {(r.doc_id, r.n_bytes): (r.in_domain_bytes, r.general_bytes, r.score) for r in lm_score.score(df, inside, size=2000).collect()}
+
+    def phrases(text):
+        h = lm_score.Hashed(pa.array([text or ""]), fold=False)
+        _, _, a, b = lm_score.phrases(h)
+        data = (text or "").encode()
+        return [data[x:y] for x, y in zip(a.tolist(), b.tolist())]
+
+    rows = sorted({(d, t or "") for d, t in rows_of(df)}, key=str)
+    general, inner = {}, {p for r in inside.collect() for p in phrases(r.text)}
+    for k, (_, t) in enumerate(rows):
+        for p in phrases(t):
+            general.setdefault(p, set()).add(k)
+    base = [lm_score.dictionary(inside, size=2000), lm_score.dictionary(df, size=2000)]
+    n = min(map(len, base))
+
+    def size(text, words_, known):
+        content = b" ".join([words_[len(words_) - n :], *dict.fromkeys(p for p in phrases(text) if p in known)])
+        c = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+        return len(c.compress(text.encode()))
+
+    shared = {p for p, docs_ in general.items() if len(docs_) > 1}
+    assert len(got) == len(rows)
+    for d, t in rows:
+        i, g = size(t, base[0], inner), size(t, base[1], shared)
+        assert got[d, len(t.encode())] == (i, g, (g - i) / (g + i)), d
+    # Texts that occur twice are known to the general corpus, those of the in-domain one to that.
+    assert all(got[k, len(t)][2] < -0.3 for k, t in twice[:6])
+    assert max(got.values(), key=lambda x: x[2]) == got[12, len(TEXTS[12])] or got[12, len(TEXTS[12])][2] > -0.3
+    assert lm_score.score(empty, inside).count() == 0 and lm_score.score(docs, empty.select("text")).count() == docs.count()
 
 
 def corpus(spark, n):
