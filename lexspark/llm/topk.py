@@ -9,9 +9,10 @@ Cauchy-Schwarz bound on the rest prunes, and what survives is scored exactly in
 integers. Nothing approximate is returned.
 
 Vectors that are null, or hold null or non-finite components, and rows without an id
-take no part. Vectors of unequal length count as padded with zeros. Of rows that share
-an id, the smallest vector (as arrays compare) counts. Ties go to the smaller id; with
-fewer than k candidates all are returned. Scores beyond a 64-bit integer are clipped.
+take no part. Vectors of unequal length count as padded with zeros. Rows that share an
+id are rows of their own, as queries (each with its own ranks) and as candidates, also
+of one another. Ties go to the smaller id; with fewer than k candidates all are
+returned. Scores beyond a 64-bit integer are clipped.
 """
 
 from __future__ import annotations
@@ -36,19 +37,20 @@ LONG = 2**63 - 1
 
 def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
     """``vec_id, v (array<double> of whole numbers), norm`` of the rows that take part."""
-    x = F.transform(F.col(vec_col), lambda c: F.floor(c.cast("double") * F.lit(float(scale))).cast("double"))
-    finite = F.forall(F.col(vec_col), lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
-    # floor() of a double is a long in Spark; larger values keep their whole double.
-    wide = F.transform(F.col(vec_col), lambda c: c.cast("double") * F.lit(float(scale)))
-    small = F.forall(F.col(vec_col), lambda c: F.abs(c.cast("double")) < float(2**52 // max(1, scale)))
-    v = F.when(small, x).otherwise(wide)
+    vec = F.col(f"`{vec_col}`")
+    finite = F.forall(vec, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
+
+    def whole(c):
+        # Doubles of 2**52 and more are whole; floor() of a double is a long in Spark.
+        x = c.cast("double") * F.lit(float(scale))
+        return F.when(F.abs(x) < float(2**52), F.floor(F.when(F.abs(x) < float(2**52), x)).cast("double")).otherwise(x)
+
     return (
-        df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull())
+        df.where(F.col(f"`{id_col}`").isNotNull() & vec.isNotNull())
         .where(finite)
-        .select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
-        .groupBy("vec_id")
-        .agg(F.min("v").alias("v"))
+        .select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.transform(vec, whole).alias("v"))
         .withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)))
+        .withColumn("row", F.monotonically_increasing_id())
     )
 
 
@@ -90,12 +92,12 @@ class Best:
             self.floor[row] = heap[0][0]
 
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, ids: np.ndarray, v: np.ndarray, rotation: np.ndarray, k: int, lead: int) -> Best:
+def search_block(q_rows: np.ndarray, q: np.ndarray, floor: np.ndarray, rows: np.ndarray, ids: np.ndarray, v: np.ndarray, rotation: np.ndarray, k: int, lead: int) -> Best:
     """The best of a block for each query. ``floor``: a score that k candidates reach
-    somewhere, so lower ones don't matter."""
+    somewhere, so lower ones don't matter. ``q_rows``, ``rows``: which row each is."""
     norm = np.sqrt((v * v).sum(1))
     order = np.argsort(-norm, kind="stable")
-    v, ids, norm = v[order], ids[order], norm[order]
+    v, ids, rows, norm = v[order], ids[order], rows[order], norm[order]
     qn = np.sqrt((q * q).sum(1))
     qr, vr = q @ rotation, v @ rotation
     q1, v1 = qr[:, :lead], vr[:, :lead]
@@ -108,15 +110,15 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, ids: np.nd
             break  # later vectors are shorter
         b = a + CHUNK
         bound = q1[live] @ v1[a:b].T + q2[live][:, None] * v2[None, a:b] + slack[live][:, None]
-        bound[q_ids[live][:, None] == ids[None, a:b]] = -np.inf
+        bound[q_rows[live][:, None] == rows[None, a:b]] = -np.inf
         for k0 in range(0, len(live), 256):
             part = bound[k0 : k0 + 256]
             # The k-th best exact score among the highest bounds raises the threshold first.
             if part.shape[1] > 4 * k:
                 top = np.argpartition(-part, k, axis=1)[:, :k]
-                rows, cols = np.repeat(np.arange(len(part)), k), top.ravel()
-                real = np.isfinite(part[rows, cols])
-                s = np.where(real, exact_scores(q[live[k0 + rows]], v[a + cols]), -LONG).reshape(len(part), k).min(1)
+                each, cols = np.repeat(np.arange(len(part)), k), top.ravel()
+                real = np.isfinite(part[each, cols])
+                s = np.where(real, exact_scores(q[live[k0 + each]], v[a + cols]), -LONG).reshape(len(part), k).min(1)
                 low = np.maximum(best.floor[live[k0 : k0 + 256]], s.astype(float))
             else:
                 low = best.floor[live[k0 : k0 + 256]]
@@ -156,52 +158,52 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k:
 
     bands = max(1, min(MOST_BANDS, n // 4096))
     edges = sorted(set(vectors.agg(F.percentile_approx("norm", [i / bands for i in range(1, bands)] or [0.5], 10000)).first()[0])) if bands > 1 else []
+    # Bands from the longest vectors to the shortest; ``tops``: the longest in each.
     band = sum((F.when(F.col("norm") < e, 1).otherwise(0) for e in edges), F.lit(0))
     sized = vectors.withColumn("band", band)
-    found = sized.groupBy("band").agg(F.count("*").alias("n"), F.max("norm").alias("top")).collect()
-    splits = {r.band: -(-r.n // BLOCK) for r in found}
-    limits = {r.band: r.top for r in found}
-    split = F.coalesce(*[F.when(F.col("band") == b, F.pmod(F.xxhash64("vec_id"), F.lit(s))) for b, s in splits.items()])
-    blocks = sized.select("vec_id", "v", F.shiftleft(F.col("band").cast("long"), 32).bitwiseOR(split).alias("block"))
+    held = {r.band: r for r in sized.groupBy("band").agg(F.count("*").alias("n"), F.max("norm").alias("top")).collect()}
+    splits = [-(-held[b].n // BLOCK) if b in held else 0 for b in range(len(edges) + 1)]
+    tops = np.array([held[b].top if b in held else -1.0 for b in range(len(edges) + 1)])
 
     head = vectors.orderBy(F.desc("norm"), "vec_id").limit(HEAD).collect()
-    head_ids = np.array([r.vec_id for r in head], np.int64)
+    head_rows, head_ids = (np.array([r[c] for r in head], np.int64) for c in ("row", "vec_id"))
     head_v = np.zeros((len(head), dim))
     for i, r in enumerate(head):
         head_v[i, : len(r.v)] = r.v
-    block_list = [((b << 32) | s, limits[b]) for b in sorted(splits) for s in range(splits[b])]
-    query_blocks = max(1, -(-n // every // QUERY_BLOCK) + 1) if n > every * QUERY_BLOCK else 1
 
     def routed(batches):
-        """Each query once for every block that may hold one of its best."""
-        tops = np.array([t for _, t in block_list])
-        keys = np.array([b for b, _ in block_list])
+        """Each query's threshold, and the bands that may hold one of its best."""
         for batch in batches:
-            ids = np.asarray(batch.column("vec_id"))
-            q = _matrix(batch.column("v"), dim)
-            for a in range(0, len(ids), 512):
-                qa, ia = q[a : a + 512], ids[a : a + 512]
-                first = search_block(ia, qa, np.full(len(ia), -np.inf), head_ids, head_v, rotation, k, lead)
+            rows, q = np.asarray(batch.column("row")), _matrix(batch.column("v"), dim)
+            for a in range(0, len(rows), 512):
+                qa, ra = q[a : a + 512], rows[a : a + 512]
+                first = search_block(ra, qa, np.full(len(ra), -np.inf), head_rows, head_ids, head_v, rotation, k, lead)
                 qn = np.sqrt((qa * qa).sum(1))
-                sent = qn[:, None] * tops[None, :] * (1 + 1e-9) + 1e-9 >= first.floor[:, None]
+                sent = (qn[:, None] * tops[None, :] * (1 + 1e-9) + 1e-9 >= first.floor[:, None]) & (tops >= 0)
                 r, c = np.nonzero(sent)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ia[r]), batch.column("v").take(pa.array(a + r)), pa.array(first.floor[r]), pa.array(keys[c])],
-                    names=["vec_id", "v", "floor", "block"],
-                )
-
-    chosen = F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int")
-    queries = map_batches(vectors.where(F.col("vec_id") % every == 0).select("vec_id", "v"), routed, "vec_id long, v array<double>, floor double, block long").withColumn("part", chosen)
-    candidates = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+                yield pa.RecordBatch.from_arrays([pa.array(ra[r]), pa.array(first.floor[r]), pa.array(c.astype(np.int32))], names=["row", "floor", "band"])
+
+    asking = vectors.where(F.col("vec_id") % every == 0)
+    routes = stored(map_batches(asking.select("row", "v"), routed, "row long, floor double, band int"))
+    asked = {r.band: r.n for r in routes.groupBy("band").agg(F.count("*").alias("n")).collect()}
+    # A block is copied once for each QUERY_BLOCK of the queries routed to its band.
+    parts = [-(-asked.get(b, 0) // QUERY_BLOCK) for b in range(len(splits))]
+    of = lambda values: F.get(F.array(*[F.lit(x) for x in values]), F.col("band"))
+    upto = lambda values: F.explode(F.sequence(F.lit(0), of(values) - 1))
+    queries = asking.select("row", "vec_id", "v").join(routes, "row").withColumn("part", F.pmod(F.xxhash64("row"), of(parts)).cast("int")).withColumn("split", upto(splits))
+    fresh = [F.col(c).alias(c) for c in ("row", "vec_id", "v", "band")]  # both sides come from one table
+    candidates = sized.where(of(parts) > 0).select(*fresh, F.pmod(F.xxhash64("row"), of(splits)).cast("int").alias("split")).withColumn("part", upto(parts))
 
     def joined(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows: list[tuple[int, int, int]] = []
+        out: list[tuple[int, int, int, int]] = []
         if left.num_rows and right.num_rows:
-            q_ids = np.asarray(left.column("vec_id"))
-            best = search_block(q_ids, _matrix(left.column("v"), dim), np.asarray(left.column("floor")), np.asarray(right.column("vec_id")), _matrix(right.column("v"), dim), rotation, k, lead)
-            rows = [(int(q), -i, s) for q, heap in zip(q_ids, best.heaps, strict=True) for s, i in heap]
-        return pa.table({"query_id": pa.array([r[0] for r in rows], pa.int64()), "vec_id": pa.array([r[1] for r in rows], pa.int64()), "score": pa.array([r[2] for r in rows], pa.int64())})
-
-    found = queries.groupBy("block", "part").cogroup(candidates.groupBy("block", "part")).applyInArrow(joined, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+            ints = lambda t, c: np.asarray(t.column(c))
+            rows, ids = ints(left, "row"), ints(left, "vec_id")
+            best = search_block(rows, _matrix(left.column("v"), dim), ints(left, "floor"), ints(right, "row"), ints(right, "vec_id"), _matrix(right.column("v"), dim), rotation, k, lead)
+            out = [(int(r), int(q), -i, s) for r, q, heap in zip(rows, ids, best.heaps, strict=True) for s, i in heap]
+        return pa.table({c: pa.array([r[x] for r in out], pa.int64()) for x, c in enumerate(("row", "query_id", "vec_id", "score"))})
+
+    by = ("band", "split", "part")
+    found = queries.groupBy(*by).cogroup(candidates.groupBy(*by)).applyInArrow(joined, "row long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
