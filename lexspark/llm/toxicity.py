@@ -163,10 +163,22 @@ class BiGru:
         return grads
 
 
-def fit(docs: list[tuple[np.ndarray, float]], prior: float, epochs: int = 7, rate: float = 0.02, docs_per_step: int = 48, seed: int = 5) -> BiGru:
-    """``docs``: (words, KINDS) inputs in whole windows, and the label. A text's logit is
-    a smooth maximum over its windows, so the windows that show the label learn it.
-    One text in five is kept to calibrate the scores."""
+def _steps(order: np.ndarray, size: np.ndarray, docs_per_step: int, windows_per_step: int):
+    """``order`` in runs of at most so many texts and windows (one text at least)."""
+    begin, held = 0, 0
+    for k, i in enumerate(order):
+        if k > begin and (k - begin == docs_per_step or held + size[i] > windows_per_step):
+            yield order[begin:k]
+            begin, held = k, 0
+        held += size[i]
+    if begin < len(order):
+        yield order[begin:]
+
+
+def fit(docs: list[tuple[np.ndarray, float]], prior: float, epochs: int = 7, rate: float = 0.02, docs_per_step: int = 48, windows_per_step: int = 2400, seed: int = 5) -> BiGru:
+    """``docs``: (words, KINDS) inputs and the label. All windows of a text take part: its
+    logit is a smooth maximum over them, so those that show the label learn it. One text
+    in five is kept to calibrate the scores, by the maximum that scoring takes."""
     rng = np.random.default_rng(seed)
     net = BiGru()
     order = rng.permutation(len(docs))
@@ -174,15 +186,17 @@ def fit(docs: list[tuple[np.ndarray, float]], prior: float, epochs: int = 7, rat
     m1 = {k: np.zeros_like(v) for k, v in net.p.items()}
     m2 = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0
+    size = np.array([len(windows(np.array([0, len(x)]))[0]) for x, _ in docs])
+    steps_in = np.arange(WINDOW)[:, None]
     for epoch in range(epochs):
         rng.shuffle(learn)
-        for k in range(0, len(learn), docs_per_step):
-            pick = learn[k : k + docs_per_step]
-            rows = np.concatenate([docs[i][0] for i in pick]).reshape(-1, WINDOW, KINDS).transpose(1, 0, 2)
-            owner = np.repeat(np.arange(len(pick)), [len(docs[i][0]) // WINDOW for i in pick])
+        for pick in _steps(learn, size, docs_per_step, windows_per_step):
+            words = np.concatenate([*(docs[i][0] for i in pick), np.full((1, KINDS), PAD, docs[pick[0]][0].dtype)])
+            owner, begin, count = windows(np.concatenate([[0], np.cumsum([len(docs[i][0]) for i in pick])]))
+            mask = steps_in < count[None, :]
+            rows = words[np.where(mask, begin[None, :] + steps_in, len(words) - 1)].astype(np.int32)
             first = np.searchsorted(owner, np.arange(len(pick)))
             y = np.array([docs[i][1] for i in pick], np.float32)
-            mask = rows[:, :, 0] != PAD
             mask[0] = True
             x = net.embed(rows.reshape(-1, KINDS)).reshape(WINDOW, -1, WIDTH)
             gates = {d: x @ net.p[f"W{d}"] + net.p[f"c{d}"] for d in "fb"}
@@ -208,9 +222,8 @@ def fit(docs: list[tuple[np.ndarray, float]], prior: float, epochs: int = 7, rat
             net.p["e"][PAD] = 0
     top, ys = [], []
     for i in check:
-        n = len(docs[i][0]) // WINDOW
-        real = (docs[i][0][:, 0] != PAD).reshape(n, WINDOW).sum(1)
-        top.append(net.logits(docs[i][0], np.arange(n) * WINDOW, real).max())
+        _, begin, count = windows(np.array([0, len(docs[i][0])]))
+        top.append(net.logits(docs[i][0].astype(np.int32), begin, count).max())
         ys.append(docs[i][1])
     net.slope, net.shift = _calibrate(np.array(top, float), np.array(ys, float), prior)
     return net
@@ -241,33 +254,25 @@ class Constant(BiGru):
         self.slope, self.shift = 0.0, float(np.log(share / (1 - share)))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 1200, windows_per_doc: int = 24, **options) -> BiGru:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 1200, longest: int = 1 << 20, **options) -> BiGru:
     """Fit on a bounded sample of labelled rows outside fold 0: ``per_class`` of each
-    class, of each text at most ``windows_per_doc`` windows, evenly spread."""
+    class, of texts of at most ``longest`` bytes, each with all of its words."""
 
     def run(batches):
         for batch in batches:
             for part in spans(batch):
                 rows, at = word_inputs(part.column("text"))
-                rows = np.concatenate([rows, np.full((1, KINDS), PAD, np.int32)])
-                owner, begin, count = windows(at)
-                edge = np.searchsorted(owner, np.arange(part.num_rows + 1))
-                out = []
-                for i in range(part.num_rows):
-                    n = edge[i + 1] - edge[i]
-                    pick = edge[i] + (np.arange(n) if n <= windows_per_doc else np.linspace(0, n - 1, windows_per_doc).astype(int))
-                    k = np.arange(WINDOW)[None, :]
-                    words = np.where(k < count[pick][:, None], begin[pick][:, None] + k, len(rows) - 1)
-                    out.append(rows[words].astype(np.int32).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.binary()), part.column("y").cast(pa.int32())], names=["doc_id", "words", "y"])
-
-    found = map_batches(training_rows(docs, labels, label, per_class), run, "doc_id long, words binary, y int").collect()
+                rows = rows.astype(np.uint16)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([rows[at[i] : at[i + 1]].tobytes() for i in range(part.num_rows)], pa.binary()), part.column("y").cast(pa.int32())], names=["doc_id", "words", "y"])
+
+    short = F.coalesce(F.octet_length("text"), F.lit(0)) <= longest
+    found = map_batches(training_rows(docs, labels, label, per_class).where(short), run, "doc_id long, words binary, y int").collect()
     found.sort(key=lambda r: r.doc_id)
     y = [r.y for r in found]
     if len(set(y)) < 2:
         return Constant(float(np.mean(y)) if y else 0.5)
     share = labels.where(F.col(label).isin(0, 1)).where(fold(F.col("doc_id")) != 0).agg(F.avg(label)).first()[0]
-    return fit([(np.frombuffer(r.words, np.int32).reshape(-1, KINDS), float(r.y)) for r in found], float(share), **options)
+    return fit([(np.frombuffer(r.words, np.uint16).reshape(-1, KINDS), float(r.y)) for r in found], float(share), **options)
 
 
 def _probabilities(column: pa.Array, net: BiGru) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
