@@ -59,8 +59,7 @@ def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In-domain: the texts of ``benchmark``; general: all documents."""
-    docs = _table(spark, sf_dir, "documents")
-    return lm_score.score(docs, lm_score.dictionary(_table(spark, sf_dir, "benchmark")), lm_score.dictionary(docs))
+    return lm_score.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
