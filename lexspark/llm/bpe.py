@@ -15,8 +15,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -25,14 +28,27 @@ from pyspark.sql import DataFrame
 from lexspark.llm.common import map_batches, texts
 
 END = "</w>"
-#: Chunks in a generation of a worker's cache (bounds memory, not results).
-CACHE_CHUNKS = 500_000
+#: Words in a generation of a worker's cache, and those that its next task starts with
+#: (bounds memory, not results).
+CACHE_WORDS, KEPT_WORDS = 400_000, 150_000
 
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Texts with other characters than these take the library's own normaliser.
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa0-˿]*+")
 
 
+def _splitter() -> re.Pattern:
+    """Words of plain texts in lower case: letters, single digits, runs of others."""
+
+    def of(kind: str) -> str:
+        return "".join(re.escape(chr(k)) for k in range(0x300) if unicodedata.category(chr(k))[0] == kind)
+
+    letters, digits = of("L"), of("N")
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^\s{letters}{digits}]+")
+
+
+_SPLIT = _splitter()
+
+
 def _byte_symbols() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -83,12 +99,15 @@ class TrieBpe:
                 node = node.setdefault(c, {})
             node[""] = i
         self.raw = {i: i.to_bytes(4, "little") for i in self.strings}
+        #: Words (in lower case) of plain texts: their ids, with the generation before, so
+        #: frequent ones stay; and (where decoding is asked for) their decoded text.
         self.words: dict[str, bytes] = {}
-        #: Chunks between white space: their ids, and (where decoding is asked for) their
-        #: decoded text; each with the generation before, so frequent ones stay.
-        self.chunks: dict[str, bytes] = {}
-        self.old_chunks: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
         self.decoded: dict[str, bytes] = {}
+        #: Words that more than one batch had.
+        self.common: set[str] = set()
+        #: Words of other texts, in byte symbols.
+        self.symbol_words: dict[str, bytes] = {}
 
     def whole(self, token: int) -> bool:
         """Whether the token's own string encodes to just this token."""
@@ -136,14 +155,14 @@ class TrieBpe:
         self._follows[left << 20 | right] = ok
         return ok
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Encode distinct words (as byte symbols) into ``self.words``.
+    def learn(self, words: Iterable[str], out: dict[str, bytes]) -> None:
+        """Encode distinct words (as byte symbols) into ``out``.
 
         Sorted words enter the trie in depth-first order, so the path to the current
         node is all of the trie that has to be kept: for each prefix, its last token and
         where that starts. Only one token that ends at a node can follow the encoding of
         the prefix before it; the shorter ones are tried first."""
-        inner, final, known, follows, out, raw = self.inner, self.final, self._follows.get, self.follows, self.words, self.raw
+        inner, final, known, follows, raw = self.inner, self.final, self._follows.get, self.follows, self.raw
         last: list[int] = [-1]
         start: list[int] = [0]
         before = ""
@@ -177,22 +196,16 @@ class TrieBpe:
             out[word] = b"".join(ids)
             before = word
 
-    def _pretokens(self, chunk: str) -> list[str]:
-        """A plain chunk without white space as words in byte symbols."""
-        chunk = chunk.lower()
-        if chunk.isascii():
-            # Printable ASCII stands for itself.
-            return [chunk] if chunk.isalpha() else _SPLIT.findall(chunk)
-        symbols = self.symbols
-        return ["".join([symbols[b] for b in w.encode()]) for w in _SPLIT.findall(chunk)]
-
-    def _learn_chunks(self, missing: set[str]) -> None:
-        split = {c: self._pretokens(c) for c in missing}
-        known = self.words
-        self.learn({w for ws in split.values() for w in ws if w not in known})
-        chunks = self.chunks
-        for c, ws in split.items():
-            chunks[c] = known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])
+    def _learn_plain(self, missing: set[str]) -> None:
+        # Printable ASCII stands for itself.
+        other = {w for w in missing if not w.isascii()}
+        self.learn(missing - other, self.words)
+        if other:
+            symbols, found = self.symbols, {}
+            spelt = {w: "".join([symbols[b] for b in w.encode()]) for w in other}
+            self.learn(set(spelt.values()), found)
+            for w, sym in spelt.items():
+                self.words[w] = found[sym]
 
     def _text_of(self, ids: bytes) -> bytes:
         strings = self.strings
@@ -208,57 +221,66 @@ class TrieBpe:
             elif part:
                 flat = self.library.normalizer.normalize_str(part)
                 words = [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(flat)]
-                self.learn({w for w in words if w not in self.words})
-                ids += [self.words[w] for w in words]
+                known = self.symbol_words
+                self.learn({w for w in words if w not in known}, known)
+                ids += [known[w] for w in words]
         return b"".join(ids)
 
     def encode_batch(self, batch: list[str], decode: bool = True) -> Iterator[tuple[bytes, bytes]]:
         """Of each text, its ids as little-endian 32-bit integers and (with ``decode``)
         the text that they decode to in UTF-8."""
-        if len(self.chunks) > CACHE_CHUNKS:
-            self.old_chunks, self.chunks = self.chunks, {}
-            self.words.clear()
+        if len(self.words) > CACHE_WORDS:
+            self.old_words, self.words = self.words, {}
+            self.symbol_words.clear()
             self.decoded.clear()
-        chunks, old = self.chunks, self.old_chunks
+        words, old = self.words, self.old_words
         split: list[list[str] | None] = []
         missing: set[str] = set()
+        find = _SPLIT.findall
         for text in batch:
             hard = _PLAIN.fullmatch(text) is None or any(s in text for s in self.special)
-            parts = None if hard else text.split()
+            parts = None if hard else find(text.lower())
             split.append(parts)
             if parts:
                 missing.update(parts)
-        missing.difference_update(chunks)
+        seen = missing & words.keys()
+        self.common |= seen
+        missing -= seen
         if old:
             kept = missing & old.keys()
-            for c in kept:
-                chunks[c] = old[c]
+            for w in kept:
+                words[w] = old[w]
+            self.common |= kept
             missing -= kept
         if missing:
-            self._learn_chunks(missing)
+            self._learn_plain(missing)
         decoded = self.decoded
         for text, parts in zip(batch, split, strict=True):
             if parts is None:
                 ids = self._encode_hard(text)
                 yield ids, self._text_of(ids) if decode else b""
                 continue
-            ids = b"".join([chunks[c] for c in parts])
+            ids = b"".join([words[w] for w in parts])
             if not decode:
                 yield ids, b""
                 continue
             try:
-                out = b" ".join([decoded[c] for c in parts])
+                out = b" ".join([decoded[w] for w in parts])
             except KeyError:
-                for c in parts:
-                    if c not in decoded:
-                        decoded[c] = self._text_of(chunks[c])
-                out = b" ".join([decoded[c] for c in parts])
+                for w in parts:
+                    if w not in decoded:
+                        decoded[w] = self._text_of(words[w])
+                out = b" ".join([decoded[w] for w in parts])
             yield ids, out
 
     def forget(self) -> None:
-        """Give up the caches; a worker that is used again keeps none of their memory."""
-        for cache in (self.chunks, self.old_chunks, self.words, self.decoded):
+        """Give up the caches but for words that several batches had, up to a bound: a
+        worker that is used again keeps no more of their memory."""
+        known = self.words
+        kept = {w: known[w] for w in islice(self.common, KEPT_WORDS) if w in known}
+        for cache in (self.words, self.old_words, self.decoded, self.common, self.symbol_words):
             cache.clear()
+        self.words = kept
 
     def encode(self, text: str) -> list[int]:
         raw, _ = next(self.encode_batch([text]))
@@ -274,7 +296,7 @@ def coder(path: str) -> TrieBpe:
     return TrieBpe(path)
 
 
-def slices(items: list[str], most_chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def slices(items: list[str], most_chars: int = 3_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of ``items`` of about so many characters, at least one item each."""
     begin, size = 0, 0
     for k, x in enumerate(items):
