@@ -108,8 +108,9 @@ def machine(url: Column, machines: int) -> Column:
 
 
 def percent_decode(text: Column) -> Column:
-    """Percent escapes of ASCII decoded, bad ones left as they are, plus signs kept."""
-    safe = F.regexp_replace(F.regexp_replace(text, r"%(?![0-7][0-9A-Fa-f])", "%25"), r"\+", "%2B")
+    """Percent escapes decoded as UTF-8 (bytes that aren't UTF-8 as the replacement
+    character), bad escapes left as they are, plus signs kept."""
+    safe = F.regexp_replace(F.regexp_replace(text, r"%(?![0-9A-Fa-f]{2})", "%25"), r"\+", "%2B")
     return F.try_url_decode(safe)
 
 

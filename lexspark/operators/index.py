@@ -9,6 +9,7 @@ words, then one place for the document's end.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -24,36 +25,65 @@ class Index:
     docs: DataFrame
     postings: DataFrame
     config: Config = DEFAULT
+    #: Statistics kept with the index; counted from the postings where there are none.
+    terms: DataFrame | None = None
+    chunks: DataFrame | None = None
 
     @property
     def term_stats(self) -> DataFrame:
         """Occurrences and documents of each term by chunk and field."""
+        if self.terms is not None:
+            return self.terms
         each = self.postings.groupBy("chunk_id", "field", "term", "doc_id").agg(F.count("*").alias("n"))
         return each.groupBy("chunk_id", "field", "term").agg(F.sum("n").cast("long").alias("n_posts"), F.count("*").alias("n_docs"))
 
     @property
     def chunk_stats(self) -> DataFrame:
         """Places (document ends included), distinct keys and documents of each chunk."""
-        terms = self.postings.groupBy("chunk_id", "field", "term").agg(F.count("*").alias("n"))
-        terms = terms.groupBy("chunk_id").agg(F.sum("n").alias("n"), F.count("*").alias("k"))
+        if self.chunks is not None:
+            return self.chunks
+        terms = self.term_stats.groupBy("chunk_id").agg(F.sum("n_posts").alias("n"), F.count("*").alias("k"))
         docs = self.docs.groupBy("chunk_id").agg(F.count("*").alias("n_docs"))
         return docs.join(terms, "chunk_id", "left").select(
             "chunk_id", (F.coalesce("n", F.lit(0)) + F.col("n_docs")).cast("long").alias("n_posts"), (F.coalesce("k", F.lit(0)) + 1).cast("long").alias("n_unique"), "n_docs"
         )
 
+    def kept(self) -> Index:
+        """The index with its tables and statistics in Spark's cache; see ``release``."""
+        ix = Index(self.docs.persist(), self.postings.persist(), self.config)
+        ix.terms = ix.term_stats.persist()
+        ix.chunks = ix.chunk_stats.persist()
+        return ix
+
+    def release(self) -> None:
+        for df in (self.chunks, self.terms, self.postings, self.docs):
+            if df is not None:
+                df.unpersist()
+
     def write(self, path: str) -> None:
-        """Postings by chunk, sorted by term, so that a term's scan skips row groups."""
+        """Postings and term statistics by chunk, sorted by term, so that a term's scan
+        skips row groups; and the statistics of chunks."""
         self.docs.write.partitionBy("chunk_id").mode("overwrite").parquet(f"{path}/docs")
         rows = self.postings.repartition("chunk_id", "field", F.substring("term", 1, 2)).sortWithinPartitions("field", "term", "loc")
         rows.write.partitionBy("chunk_id").mode("overwrite").parquet(f"{path}/postings")
+        written = Index.read(self.docs.sparkSession, path, self.config, stats=False)
+        terms = written.term_stats.repartition("chunk_id").sortWithinPartitions("field", "term")
+        terms.write.partitionBy("chunk_id").mode("overwrite").parquet(f"{path}/terms")
+        Index.read(self.docs.sparkSession, path, self.config, stats=False, terms=True).chunk_stats.write.mode("overwrite").parquet(f"{path}/chunks")
 
     @staticmethod
-    def read(spark, path: str, config: Config = DEFAULT) -> Index:
-        return Index(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/postings"), config)
-
-
-def build(parsed: DataFrame, config: Config = DEFAULT) -> Index:
-    """From ``doc_id, url, title_words, words`` (arrays of lower-case words)."""
+    def read(spark, path: str, config: Config = DEFAULT, stats: bool = True, terms: bool = False) -> Index:
+        ix = Index(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/postings"), config)
+        if stats or terms:
+            ix.terms = spark.read.parquet(f"{path}/terms")
+        if stats:
+            ix.chunks = spark.read.parquet(f"{path}/chunks")
+        return ix
+
+
+def build(parsed: DataFrame, config: Config = DEFAULT, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Index:
+    """From ``doc_id, url, title_words, words`` (arrays of lower-case words). ``keep``
+    persists (or writes and rereads) the parsed rows, which several steps read."""
     title = T.short_words(F.col("title_words"), config.token_limit - 1)
     body = T.short_words(F.col("words"), config.token_limit)
     later = F.filter("words", lambda w, i: (i >= config.abstract_from) & (F.length(w) < config.token_limit))
@@ -64,21 +94,20 @@ def build(parsed: DataFrame, config: Config = DEFAULT) -> Index:
         title.alias("title_terms"),
         body.alias("terms"),
         T.fitting_prefix(title, config.title_limit).alias("title"),
-        T.fitting_prefix(later, config.abstract_limit).alias("abstract"),
+        # No more words than characters can fit.
+        T.fitting_prefix(F.slice(later, 1, config.abstract_limit), config.abstract_limit).alias("abstract"),
         F.size("title_words").alias("num_title_words"),
     ).withColumn("n_tokens", (F.size("title_terms") + F.size("terms")).cast("long"))
+    docs = keep(docs)
     order = Window.partitionBy("chunk_id").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
     # Only counts pass through the window; the words join after it.
     places = docs.select("chunk_id", "doc_id", "n_tokens").withColumn("doc_end", F.sum(F.col("n_tokens") + 1).over(order)).select("chunk_id", "doc_id", "doc_end")
     placed = docs.join(places, ["chunk_id", "doc_id"]).withColumn("doc_start", F.col("doc_end") - F.col("n_tokens"))
-    meta = placed.drop("title_terms", "terms")
-
-    def occurrences(field: str, terms: str, offset) -> DataFrame:
-        rows = placed.select("chunk_id", "doc_id", "doc_start", F.size("title_terms").alias("nt"), F.posexplode(terms).alias("pos", "term"))
-        return rows.select("chunk_id", F.lit(field).alias("field"), "term", "doc_id", (F.col("doc_start") + offset + F.col("pos")).alias("loc"))
-
-    postings = occurrences("title", "title_terms", F.lit(0)).unionByName(occurrences("body", "terms", F.col("nt")))
-    return Index(meta, postings, config)
+    # One pass over both fields: the title's words come first.
+    rows = placed.select("chunk_id", "doc_id", "doc_start", F.size("title_terms").alias("nt"), F.posexplode(F.concat("title_terms", "terms")).alias("pos", "term"))
+    field = F.when(F.col("pos") < F.col("nt"), "title").otherwise("body")
+    postings = rows.select("chunk_id", field.alias("field"), "term", "doc_id", (F.col("doc_start") + F.col("pos")).alias("loc"))
+    return Index(placed.drop("title_terms", "terms"), postings, config)
 
 
 def parse_documents(documents: DataFrame) -> DataFrame:

@@ -28,20 +28,20 @@ def places(index: Index, words: tuple[str, ...]) -> DataFrame:
     return hits.groupBy("chunk_id", "doc_id").agg(*aggs)
 
 
+def _earlier(places: Column, k: int) -> Column:
+    return F.transform(places, lambda x: x - k)
+
+
 def _condition(node: Node, at: dict[str, int]) -> Column:
     if isinstance(node, Word):
         return F.size(f"p{at[node.text]}") > 0
     if isinstance(node, Phrase):
-        first = F.col(f"p{at[node.words[0]]}")
-        rest = [(k, F.col(f"p{at[w]}")) for k, w in enumerate(node.words) if k]
-
-        def runs(x: Column) -> Column:
-            out = F.lit(True)
-            for k, p in rest:
-                out = out & F.array_contains(p, x + k)
-            return out
-
-        return F.exists(first, runs) if rest else F.size(first) > 0
+        # Places at which the phrase can begin, by each of its words; hashed, so linear.
+        starts = F.col(f"p{at[node.words[0]]}")
+        for k, w in enumerate(node.words):
+            if k:
+                starts = F.array_intersect(starts, _earlier(F.col(f"p{at[w]}"), k))
+        return F.size(starts) > 0
     out = None
     for part in node.parts:
         c = _condition(part, at)

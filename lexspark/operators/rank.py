@@ -70,7 +70,20 @@ def _step(w: Column, p: Column, a: Column) -> Column:
             .otherwise(F.struct(m.alias("c"), (w["occ"] + 2 + m - c1).alias("occ"), near.alias("span")))
         )
 
-    return _let(F.greatest(c1, F.size(F.filter(p, lambda x: x < a))), at)
+    return _let(F.greatest(c1, _below(p, a)), at)
+
+
+def _below(p: Column, a: Column) -> Column:
+    """How many of the sorted places lie below ``a``, by halving: as many steps as the
+    number of places has bits."""
+    n = F.size(p)
+    bits = F.sequence(F.floor(F.log2(F.greatest(n, F.lit(1)))).cast("int"), F.lit(0), F.lit(-1))
+
+    def step(found: Column, k: Column) -> Column:
+        tried = found + F.call_function("shiftleft", F.lit(1), k)
+        return F.when((tried <= n) & (F.get(p, tried - 1) < a), tried).otherwise(found)
+
+    return F.aggregate(bits, F.lit(0), step)
 
 
 def span_features(ps: Column, first: Column, rarest: Column, doc_start: Column, words: int, c: Config) -> Column:
@@ -130,8 +143,7 @@ def word_stats(index: Index, query: Query) -> DataFrame:
     ``rarest`` (the first of the least frequent) and the ``weight`` of dynamic scores."""
     c = index.config
     terms = list(dict.fromkeys(query.words))
-    rows = index.postings.where(F.col("term").isin(terms) & (F.col("field") == "body"))
-    each = rows.groupBy("chunk_id", "term", "doc_id").agg(F.count("*").alias("n")).groupBy("chunk_id", "term").agg(F.sum("n").alias("n_posts"), F.count("*").alias("n_docs"))
+    each = index.term_stats.where(F.col("term").isin(terms) & (F.col("field") == "body"))
     wide = each.groupBy("chunk_id").agg(*[F.max(F.when(F.col("term") == w, F.col(k))).alias(f"{k}{i}") for i, w in enumerate(terms) for k in ("n_posts", "n_docs")])
     wide = wide.dropna().join(index.chunk_stats.select("chunk_id", F.col("n_posts").alias("all_posts")), "chunk_id")
     at = [terms.index(w) for w in query.words]

@@ -18,11 +18,17 @@ EXPLAIN = ("static_score", "url_score", "title_score", "raw_body", "body_score",
 
 @dataclass
 class Results:
-    """``status``: ok, blank, no_result or too_many; ``rows``: None unless ok."""
+    """``status``: ok, blank, no_result or too_many; ``rows``: None unless ok. The rows of
+    all pages stay in Spark's cache until ``close``."""
 
     status: str
     rows: DataFrame | None = None
     pages: int = 0
+    found: DataFrame | None = None
+
+    def close(self) -> None:
+        if self.found is not None:
+            self.found.unpersist()
 
 
 def top(index: Index, query: Query | str, explain: bool = False) -> DataFrame:
@@ -48,11 +54,10 @@ def search(index: Index, typed: str, number: int = 1) -> Results:
     found = top(index, q).where((F.col("title") != "") & (F.col("abstract") != "")).persist()
     n, size = found.count(), index.config.page
     pages = -(-n // size)
-    if not n:
-        return Results("no_result")
-    if number > pages:
-        return Results("too_many", pages=pages)
-    return Results("ok", page(found, number, size), pages)
+    if not 0 < number <= pages:
+        found.unpersist()
+        return Results("too_many", pages=pages) if n else Results("no_result")
+    return Results("ok", page(found, number, size), pages, found)
 
 
 def quoted(text: str) -> str:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
+from lexspark.functions import urls as U
 from lexspark.workers import ship
 
 SECTIONS = frozenset(("script", "style", "svg"))
@@ -147,6 +148,11 @@ def parse_pages(pages: DataFrame, embed: str = "href") -> DataFrame:
     return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id long, url string, title_words array<string>, words array<string>, links {_LINK}, base string")
 
 
+def write_raw(pages: DataFrame, path: str) -> None:
+    """Pages as they were fetched: ``key`` (a file name made of the URL), ``url, html``."""
+    pages.select(U.doc_key(F.col("url")).alias("key"), "url", "html").write.mode("append").parquet(path)
+
+
 def title_words(html: Column) -> Column:
     """The title's words, without the state machine."""
     return T.tokenize(F.regexp_extract(html, r"(?i)<title[^>]*>([^<]*)</title>", 1))
