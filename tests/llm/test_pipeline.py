@@ -79,3 +79,22 @@ def test_stages(spark, tmp_path):
         assert sum(p.length for p in mine) == len(ids) == mine[0].doc_tokens
     assert results[4].groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
     assert np.unique([p.doc_id for p in pieces]).tolist() == sorted(single)
+
+
+def test_awkward_rows(spark, tmp_path):
+    """Nulls, empty texts, repeats, shared ids, a long word, a column more; and no rows."""
+    long = " ".join(words(3000, 50))
+    rows = [(None, "no id " + " ".join(words(60, 51))), (1, None), (1, ""), (2, ""), (3, long), (3, long), (4, "y" * 5000), (5, " ".join(words(80, 52))), (5, " ".join(words(90, 53)))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, name string"
+    for n, kept in ((len(rows), rows), (0, [])):
+        path = tmp_path / str(n)
+        df = spark.createDataFrame([(d, t, None, "s", None, "x") for d, t in kept], schema)
+        df.write.parquet(str(path / "documents.parquet"))
+        spark.createDataFrame([(k, 1, 0) for k in range(5)], "doc_id long, quality int, toxic int").write.parquet(str(path / "labels.parquet"))
+        pieces = corpus_pipeline.run(spark, str(path)).collect()
+        library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+        # Equal texts (empty ones too) leave one row; with labels of one class nothing is rejected.
+        want = {(d, t or "") for d, t in [kept[0], *kept[1:2], kept[4], *kept[6:]]} if kept else set()
+        tokens = sorted((len(library.encode(t, add_special_tokens=False).ids) + 1 for _, t in want))
+        assert sum(p.length for p in pieces) == sum(tokens)
+        assert sorted({p.doc_id for p in pieces}, key=str) == sorted({d for d, _ in want}, key=str)
