@@ -62,6 +62,33 @@ def unpack_samples(stored: bytes) -> bytes:
 # -- validators: (bytes, start) -> end of the object, or None ------------------------
 
 
+class Value(bytes):
+    """A binary value that is scanned once for what its validators look for, however many
+    magic bytes ask."""
+
+    def ahead(self, needle: bytes, at: int) -> int:
+        """Where ``needle`` next stands from ``at`` on; -1 if nowhere. Asked in order."""
+        known = self.__dict__.setdefault("_ahead", {})
+        begin, place = known.get(needle, (len(self) + 1, -1))
+        if begin > at or (place >= 0 and place < at):
+            begin, place = known[needle] = at, self.find(needle, at)
+        return place
+
+    def archives(self) -> dict[int, int]:
+        """Start and end of each zip archive: its end record says where it starts."""
+        known = self.__dict__.get("_archives")
+        if known is None:
+            known, p = {}, self.find(b"PK\x05\x06")
+            while p >= 0 and p + 22 <= len(self):
+                size, offset, comment = struct.unpack_from("<IIH", self, p + 12)
+                end = p + 22 + comment
+                if end <= len(self):
+                    known.setdefault(p - offset - size, end)
+                p = self.find(b"PK\x05\x06", p + 4)
+            self.__dict__["_archives"] = known
+        return known
+
+
 def riff_chunks(b: bytes, at: int) -> tuple[bytes, int, list[tuple[bytes, int, int]]] | None:
     """Form type, end, and (id, start, length) of the chunks of a RIFF object."""
     if len(b) < at + 12:
@@ -175,22 +202,15 @@ def _bmp(b: bytes, at: int) -> int | None:
     return at + size
 
 
-def _pdf(b: bytes, at: int) -> int | None:
+def _pdf(b: Value, at: int) -> int | None:
     if not (b[at + 5 : at + 6].isdigit() and b[at + 6 : at + 7] == b"."):
         return None
-    end = b.find(b"%%EOF", at)
-    return end + 5 if end > 0 and b.find(b"startxref", at, end) > 0 else None
-
-
-def _zip(b: bytes, at: int) -> int | None:
-    p = b.find(b"PK\x05\x06", at)
-    while p >= 0 and p + 22 <= len(b):
-        size, offset, comment = struct.unpack_from("<IIH", b, p + 12)
-        end = p + 22 + comment
-        if at + offset + size == p and end <= len(b):
-            return end
-        p = b.find(b"PK\x05\x06", p + 4)
-    return None
+    end, xref = b.ahead(b"%%EOF", at), b.ahead(b"startxref", at)
+    return end + 5 if 0 < xref and xref + 9 <= end else None
+
+
+def _zip(b: Value, at: int) -> int | None:
+    return b.archives().get(at)
 
 
 def _gzip(b: bytes, at: int) -> int | None:
@@ -260,11 +280,11 @@ class Sniffer:
 
     def objects(self, stored: bytes) -> list[Found]:
         """All confirmed objects by start, outer ones before those inside them."""
-        out = []
+        out, value = [], Value(stored)
         for last, (n, checks) in self.machine.iter(stored.decode("latin-1")):
             at = last - n + 1
             for kind, check in checks:
-                end = check(stored, at)
+                end = check(value, at)
                 if end is not None:
                     out.append(Found(kind, at, end))
                     break
@@ -294,7 +314,10 @@ def sniff_column(df: DataFrame, data_col: str, id_col: str, declared_col: str |
         s = sniffer()
         for batch in batches:
             said = batch.column(declared_col).to_pylist() if declared_col else [None] * batch.num_rows
-            rows = [(None, False, []) if x is None else (*s.sniff(x, d)[:2], [{"media_type": f.media_type, "start": f.start, "end": f.end, "content": x[f.start : f.end]} for f in s.sniff(x, d)[2]]) for x, d in zip(batch.column(data_col).to_pylist(), said, strict=True)]
+            rows = []
+            for x, d in zip(batch.column(data_col).to_pylist(), said, strict=True):
+                media_type, corrected, found = (None, False, []) if x is None else s.sniff(x, d)
+                rows.append((media_type, corrected, [{"media_type": f.media_type, "start": f.start, "end": f.end, "content": x[f.start : f.end]} for f in found]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(id_col), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.list_(part))],
                 names=[id_col, "media_type", "corrected", "embedded"],

@@ -1,7 +1,11 @@
 """Each operator against a brute-force version, and on awkward rows."""
 
 import hashlib
+import io
 import random
+import time
+import wave
+import zipfile
 import zlib
 
 import numpy as np
@@ -211,8 +215,14 @@ def test_media_round_trip(docs, empty):
     for d, t in rows_of(docs):
         b = t.encode()
         p = b + bytes(max(64, -(-len(b) // 64) * 64) - len(b))
-        want.append((d, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])))
-    got = [tuple(r)[:5] for r in media.media_digests(docs).collect()]
+        file = io.BytesIO()
+        with wave.open(file, "wb") as w:
+            w.setparams((1, 1, media.RATE, 0, "NONE", ""))
+            w.writeframes(p)
+        wav = file.getvalue()
+        want.append((d, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(wav), hashlib.sha256(wav).hexdigest()))
+    got = [(r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) for r in media.media_digests(docs).collect()]
+    assert all(f"samples={r.payload_bytes};" in r.feature and r.feature.startswith("type=audio/wav;") for r in media.media_digests(docs).collect())
     assert sorted(got, key=str) == sorted(want, key=str)
     assert media.media_digests(empty).count() == 0 and media.media_columns(empty).count() == 0
     full = media.media_columns(docs).where("doc_id = 3").first()
@@ -236,6 +246,15 @@ def test_sniffing(spark):
     assert s.sniff(media.pack_samples(image * 2))[2][0].start == 44
     df = spark.createDataFrame([(1, bytearray(image), "image/png"), (2, None, None)], "id long, data binary, said string")
     assert {(r.id, r.media_type, r.corrected) for r in media.sniff_column(df, "data", "id", "said").collect()} == {(1, "image/png", False), (2, None, False)}
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("a", b"x" * 50)
+    pdf = b"%PDF-1.4 body startxref 9 %%EOF"
+    both = s.objects(b"text " + packed.getvalue() + b" and " + pdf + b" tail")
+    assert [(f.media_type, f.end - f.start) for f in both] == [("application/zip", len(packed.getvalue())), ("application/pdf", len(pdf))]
+    began = time.process_time()
+    s.objects(b"%PDF-1.4 PK\x03\x04 PK\x05\x06" * 60_000)  # in time linear in the value
+    assert time.process_time() - began < 5
     for k in range(0, len(image), 3):  # damaged bytes never crash a validator
         s.objects(image[:k] + b"\xff" + image[k + 1 :])
 
