@@ -60,7 +60,16 @@ def stored(df: DataFrame, release: bool = True) -> DataFrame:
     del df
     if release:
         _release(spark)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._lexspark_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` and ``placed`` that nothing lazy reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._lexspark_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def placed(df: DataFrame, key: str, groups: int) -> DataFrame:
@@ -70,10 +79,12 @@ def placed(df: DataFrame, key: str, groups: int) -> DataFrame:
     most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
     n = max(1, min(groups, most))
     name = f"lexspark_{uuid.uuid4().hex}"
-    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", shared_dir(spark)).option("compression", "zstd").saveAsTable(name)
+    path = shared_dir(spark)
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).option("compression", "zstd").saveAsTable(name)
     del df
     out = spark.table(name)
     out.schema  # resolved before the name goes
     spark.sql(f"DROP TABLE {name}")
     _release(spark)
+    out._lexspark_path = path
     return out
