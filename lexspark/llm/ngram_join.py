@@ -17,6 +17,13 @@ of links seen is estimated (Horvitz-Thompson). Prefixes are shortened until it r
 ``recall``; fewer than ``EVIDENCE`` links are no evidence. The shortest prefix gives
 pairs at the threshold itself a chance of ``recall`` to meet, whatever the others do.
 
+Links within a class are counted exactly, all of them, copies without making their pairs.
+The symmetric difference of n-gram sets is a metric, and a pair links where it is at most
+``(1 - threshold) / (1 + threshold)`` of both sizes together. So the distances to one text
+of the class, its hub, decide: texts near the hub all link to one another and are counted
+as a number; pairs of the others are made within the class, and those that the distances
+leave open are verified.
+
 A candidate is verified exactly on both n-gram sets. Sizes (exact) and the two lowest
 bits of all values (four standard deviations below the threshold, none for short texts)
 rule out pairs before; nothing is capped.
@@ -219,9 +226,45 @@ def _across(met: DataFrame, nodes: DataFrame, threshold: float) -> tuple[DataFra
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), rows
 
 
-def link(docs: DataFrame, n: int = 3, threshold: float = THRESHOLD, trees: int = TREES, depths: tuple[int, ...] = DEPTHS, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, Names]:
-    """``digest, node`` of all texts; ``node, class_id``; the verified links ``a, b,
-    jaccard`` that connect the classes; and the names of rows."""
+def _counted(texts: DataFrame, nodes: DataFrame, classes: DataFrame, tried: DataFrame, n: int, threshold: float) -> DataFrame:
+    """``node, n_links``: of each text that has some, its links to other texts, all of its
+    class held against it. ``tried``: the pairs verified so far."""
+    slack, share = 1e-6, (1 - threshold) / (1 + threshold)
+    members = classes.join(classes.groupBy("class_id").agg(F.count("*").alias("k")).where("k > 1").select("class_id"), "class_id")
+    ends = tried.where(F.col("jaccard") >= threshold).select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    hubs = members.join(ends, "node").groupBy("class_id").agg(F.min_by("node", F.struct(-F.col("degree"), "node")).alias("hub"))
+    rows = stored(members.join(hubs, "class_id").join(nodes.select("node", "size"), "node"), release=False)
+    apart = rows.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    tried_hubs = tried.join(apart, ["a", "b"], "left_semi")
+    known = stored(tried_hubs.unionByName(verified(texts, stored(apart.join(tried, ["a", "b"], "left_anti"), release=False), n)))
+    both = known.select("a", "b", "jaccard").union(known.select("b", "a", "jaccard")).toDF("node", "hub", "jaccard")
+    sizes = rows.where("node = hub").select("hub", F.col("size").alias("hub_size"))
+    total = F.col("size") + F.col("hub_size")
+    # The overlap is a whole number, so it comes back from the share.
+    distance = F.when(F.col("node") == F.col("hub"), F.lit(0)).otherwise(total - 2 * F.round(F.col("jaccard") * total / (1 + F.col("jaccard"))))
+    rows = rows.join(both, ["node", "hub"], "left").join(sizes, "hub").withColumn("d", distance.cast("long"))
+    rows = stored(rows.select("node", "class_id", "size", "d", (F.col("d") - share * F.col("size") + slack).alias("over")), release=False)
+    near, far = rows.where("over <= 0"), rows.where("over > 0")
+    some = near.join(near.groupBy("class_id").agg((F.count("*") - 1).alias("n_links")), "class_id").select("node", "n_links")
+    parts = far.groupBy("class_id").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    x = far.join(parts, "class_id").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts").alias("x")
+    y = rows.join(parts, "class_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts").alias("y")
+    once = (F.col("y.over") <= 0) | (F.col("x.node") < F.col("y.node"))
+    small, large = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
+    able = (small + slack >= threshold * large) & (F.abs(F.col("x.d") - F.col("y.d")) <= share * (small + large) + slack)
+    pairs = x.join(y, (F.col("x.class_id") == F.col("y.class_id")) & (F.col("x.part") == F.col("y.part")) & once & able)
+    pairs = stored(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), (F.col("x.over") + F.col("y.over") <= 0).alias("sure")))
+    done = tried.unionByName(known).dropDuplicates(["a", "b"])
+    open_ = pairs.where("NOT sure").select("a", "b")
+    new = verified(texts, stored(open_.join(done, ["a", "b"], "left_anti"), release=False), n)
+    good = open_.join(done, ["a", "b"]).unionByName(new).where(F.col("jaccard") >= threshold).select("a", "b").union(pairs.where("sure").select("a", "b"))
+    others = good.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    return stored(some.unionByName(others).groupBy("node").agg(F.sum("n_links").alias("n_links")).where("n_links > 0"))
+
+
+def link(docs: DataFrame, n: int = 3, threshold: float = THRESHOLD, trees: int = TREES, depths: tuple[int, ...] = DEPTHS, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", counted: bool = True) -> tuple[DataFrame, DataFrame, DataFrame | None, Names]:
+    """``digest, node`` of all texts; ``node, class_id``; ``node, n_links`` (where they are
+    to be counted); and the names of rows."""
     spark = docs.sparkSession
     known = names(docs, id_col, text_col)
     rows = known.of(docs, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
@@ -257,17 +300,18 @@ def link(docs: DataFrame, n: int = 3, threshold: float = THRESHOLD, trees: int =
         seen, all_ = good.agg(F.count("*"), F.sum(1 / chance)).first()
         if seen >= EVIDENCE and seen >= recall * all_:
             break
-    discard(texts, nodes, tries)
-    return found, classes, tried.where(F.col("jaccard") >= threshold), known
+    discard(tries)
+    counts = _counted(texts, nodes, classes, tried, n, threshold) if counted else None
+    discard(texts, nodes)
+    return found, classes, counts, known
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``doc_id, text_class`` (the smallest id with an equal text), ``class_id`` (the
-    smallest id of the connected near-duplicates), ``n_links`` (verified links to other
-    texts: those that connect the class, not all of its pairs) of every row. Classes are
-    given by name: the id itself (-2**63 for none) unless rows share ids."""
-    found, classes, links, known = link(docs, id_col=id_col, text_col=text_col, **options)
-    counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    smallest id of the connected near-duplicates), ``n_links`` (the other texts of the class
+    that meet the threshold with it, all of them) of every row. Classes are given by name:
+    the id itself (-2**63 for none) unless rows share ids."""
+    found, classes, counts, known = link(docs, id_col=id_col, text_col=text_col, **options)
     each = found.join(classes, "node").join(counts, "node", "left")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), digest(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("digest"))
     return rows.join(each, "digest").select("doc_id", F.col("node").alias("text_class"), "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
@@ -275,7 +319,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row, with all columns, of each class: that of the smallest id."""
-    _, classes, _, known = link(docs, id_col=id_col, text_col=text_col, **options)
+    _, classes, _, known = link(docs, id_col=id_col, text_col=text_col, counted=False, **options)
     kept = classes.where("node = class_id").select(F.col("node").alias("name"))
     rows = known.of(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(kept, "name", "left_semi")
     return (rows.dropDuplicates(["name"]) if known.twins else rows).select("row.*")

@@ -185,13 +185,30 @@ def test_ngram_join_equals_brute_force(docs, empty):
 
 
 def test_near_copies_are_one_class(spark):
-    """A cluster is connected by about one link a text, not by all of its pairs."""
+    """Every text of a cluster links to all others of it."""
     base = words(120, 21)
     rows = [(k, " ".join(base[:-1] + [f"w{k}"])) for k in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = ngram_join.join(df).collect()
-    assert len(got) == 3000 and {r.class_id for r in got} == {0} and min(r.n_links for r in got) >= 1
-    assert sum(r.n_links for r in got) < 4 * 3000
+    assert len(got) == 3000 and {r.class_id for r in got} == {0}
+    assert {r.n_links for r in got} == {2999}
+
+
+def test_all_links_of_a_class_are_counted(spark):
+    """Texts at all distances from one another, in classes that a few links connect."""
+    r = random.Random(6)
+    rows = []
+    for k in range(240):
+        base, other = ([f"{x}{k % 3}" for x in words(90, 600 + q + k % 3)] for q in (0, 50))
+        cut = r.randrange(91)
+        w = base[:cut] + other[cut:] if k % 2 else base[:]
+        for q in r.sample(range(90), 1 + r.randrange(11)):
+            w[q] = f"{w[q]}x{k}"
+        rows.append((k, " ".join(w)))
+    sets = [frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) for _, t in rows for w in [t.split()]]
+    want = {a: sum(a != b and 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b]) for b in range(240)) for a in range(240)}
+    got = {x.doc_id: x.n_links for x in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len(set(want.values())) > 20
 
 
 def test_links_at_the_threshold(spark):
