@@ -421,6 +421,29 @@ def test_compact_windows_hold_every_run():
                 assert ((row == k) & (at == c) & (lo <= a) & (hi >= b)).sum() == 1
 
 
+def test_compact_windows_equal_a_plain_search():
+    """Every window by its definition, on random, tied and sorted values; and sorted ones
+    in about linear time."""
+    r = np.random.default_rng(5)
+    for kind in range(3):
+        offsets = np.array([0, 0, 60, 63, 150])
+        value = (r.integers(0, 1 << 63, 150).astype(np.uint64), r.integers(0, 4, 150).astype(np.uint64) << np.uint64(40), np.arange(150, 0, -1).astype(np.uint64) << np.uint64(33))[kind]
+        want = []
+        for k in range(4):
+            v = (value[offsets[k] : offsets[k + 1]] >> np.uint64(32)).tolist()
+            for c in range(len(v)):
+                lo = max((i + 1 for i in range(c) if v[i] <= v[c]), default=0)
+                hi = min((i - 1 for i in range(c + 1, len(v)) if v[i] < v[c]), default=len(v) - 1)
+                if hi - lo + 1 >= 10:
+                    want.append((k, lo, c, hi))
+        for inside in (None, passage_dedup.whole_runs(offsets, 10)):
+            got = passage_dedup.compact_windows(value, offsets, 10, inside)
+            assert sorted(zip(*(x.tolist() for x in got), strict=True)) == sorted(want)
+    began = time.process_time()
+    passage_dedup.compact_windows(np.arange(1_000_000, 0, -1).astype(np.uint64) << np.uint64(33), np.array([0, 1_000_000]), 1)
+    assert time.process_time() - began < 10
+
+
 def test_lm_dictionary(docs, empty, spark):
     d = lm_score.dictionary(docs)
     counts = {}
