@@ -17,6 +17,7 @@ from tokenizers import Tokenizer
 
 from lexspark.llm import bpe, lm_score, media, ngram_join, packing, passage_dedup, quality, suffix_dedup, topk, toxicity
 from lexspark.llm.common import stored
+from lexspark.workers import shared_root
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, rank int"
@@ -421,6 +422,22 @@ def test_compact_windows_hold_every_run():
                 assert ((row == k) & (at == c) & (lo <= a) & (hi >= b)).sum() == 1
 
 
+def test_passages_leave_one_table(spark):
+    """What is left on disk when rows are joined with their passages: no copy of texts."""
+    import glob
+    import shutil
+
+    root = shared_root(spark).removeprefix("file://")
+    rows = [(k, " ".join(words(60, 95_000 + k % 5) + words(30, 96_000 + k))) for k in range(20)]
+    had = set(glob.glob(f"{root}/*"))
+    found, _ = passage_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    new = set(glob.glob(f"{root}/*")) - had
+    kept = [x for x in new if "text" in spark.read.parquet(x).columns]
+    assert not kept and found.select("doc").distinct().count() == 15
+    for x in new:
+        shutil.rmtree(x)
+
+
 def test_compact_windows_equal_a_plain_search():
     """Every window by its definition, on random, tied and sorted values; and sorted ones
     in about linear time."""
