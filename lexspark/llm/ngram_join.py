@@ -48,7 +48,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import discard, placed, stored
+from lexspark.llm.common import discard, placed, stored, whole
 from lexspark.llm.names import Names, names
 
 #: MinHash values of a text; two bits of each make its sketch, 32 values to a word.
@@ -262,16 +262,19 @@ def _counted(texts: DataFrame, nodes: DataFrame, classes: DataFrame, tried: Data
     return stored(some.unionByName(others).groupBy("node").agg(F.sum("n_links").alias("n_links")).where("n_links > 0"))
 
 
-def link(docs: DataFrame, n: int = 3, threshold: float = THRESHOLD, trees: int = TREES, depths: tuple[int, ...] = DEPTHS, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", counted: bool = True) -> tuple[DataFrame, DataFrame, DataFrame | None, Names]:
+def link(docs: DataFrame, n: int = 3, threshold: float = THRESHOLD, trees: int = TREES, depths: tuple[int, ...] = DEPTHS, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", counted: bool = True, row: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None, Names, DataFrame | None]:
     """``digest, node`` of all texts; ``node, class_id``; ``node, n_links`` (where they are
-    to be counted); and the names of rows."""
+    to be counted); the names of rows; and ``node, row``, a row of each text (where one is
+    asked for), kept by node."""
     spark = docs.sparkSession
     known = names(docs, id_col, text_col)
     rows = known.of(docs, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    full = rows if row is None else known.of(docs, row.alias("row"))
     found = stored(rows.select("name", digest(F.col("text")).alias("digest")).groupBy("digest").agg(F.min("name").alias("node")), release=False)
-    one = rows.join(found.select(F.col("node").alias("name")), "name", "left_semi")
+    one = full.join(found.select(F.col("node").alias("name")), "name", "left_semi")
     one = one.dropDuplicates(["name"]) if known.twins else one
-    texts = placed(one.withColumnRenamed("name", "node"), "node", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    held = placed(one.withColumnRenamed("name", "node"), "node", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    texts = held if row is None else held.select("node", F.coalesce(F.col("row").getField(text_col), F.lit("")).alias("text"))
     nodes = stored(forest_nodes(texts, n))
     tries = stored(forest(nodes, trees, depths))
     classes = stored(found.select("node", F.col("node").alias("class_id")), release=False)
@@ -302,8 +305,8 @@ def link(docs: DataFrame, n: int = 3, threshold: float = THRESHOLD, trees: int =
             break
     discard(tries)
     counts = _counted(texts, nodes, classes, tried, n, threshold) if counted else None
-    discard(texts, nodes)
-    return found, classes, counts, known
+    discard(*[held] * (row is None), nodes)
+    return found, classes, counts, known, held if row is not None else None
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -311,7 +314,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
     smallest id of the connected near-duplicates), ``n_links`` (the other texts of the class
     that meet the threshold with it, all of them) of every row. Classes are given by name:
     the id itself (-2**63 for none) unless rows share ids."""
-    found, classes, counts, known = link(docs, id_col=id_col, text_col=text_col, **options)
+    found, classes, counts, _, _ = link(docs, id_col=id_col, text_col=text_col, **options)
     each = found.join(classes, "node").join(counts, "node", "left")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), digest(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("digest"))
     return rows.join(each, "digest").select("doc_id", F.col("node").alias("text_class"), "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
@@ -319,7 +322,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row, with all columns, of each class: that of the smallest id."""
-    _, classes, _, known = link(docs, id_col=id_col, text_col=text_col, counted=False, **options)
-    kept = classes.where("node = class_id").select(F.col("node").alias("name"))
-    rows = known.of(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(kept, "name", "left_semi")
+    row = whole(docs)
+    _, classes, _, known, held = link(docs, id_col=id_col, text_col=text_col, counted=False, row=row, **options)
+    kept = classes.where("node = class_id").select("node")
+    if held is not None:
+        # A text's rows lie by node already, so no row moves.
+        return held.join(kept, "node", "left_semi").select("row.*")
+    rows = known.of(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(kept.withColumnRenamed("node", "name"), "name", "left_semi")
     return (rows.dropDuplicates(["name"]) if known.twins else rows).select("row.*")

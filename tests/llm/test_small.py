@@ -586,3 +586,17 @@ def test_factorisation_identity(docs):
         x = np.r_[value[begin[k] : begin[k + 1]], np.clip(dense[k], -5, 5)]
         pairs = sum(m.v[idx[i]] @ m.v[idx[j]] * x[i] * x[j] for i in range(len(x)) for j in range(i))
         assert abs(got[k] - (0.1 + m.w[idx] @ x + pairs)) < 1e-3
+
+
+def test_pipeline_stages_move_no_row_twice(spark):
+    """The rows that the n-gram join keeps and those that substring dedup cuts are read
+    from the tables of texts and not from the input once more."""
+    rows = [(k, " ".join(words(60, 97_000 + k % 9) + words(70, 98_000 + k)), f"x{k}") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string").withColumn("a b.c", F.lit(1))
+    for stage in (ngram_join.keep_one, passage_dedup.dedup):
+        out = stage(df)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan parquet" in plan and "ExistingRDD" not in plan and out.columns == df.columns
+        got = {r.doc_id: r for r in out.collect()}
+        assert len(got) == 40 and all(got[k].row == f"x{k}" and got[k]["a b.c"] == 1 for k in got)
+    assert sorted(len(r.text.split()) for r in got.values()) == [70] * 31 + [130] * 9
