@@ -98,3 +98,19 @@ def test_awkward_rows(spark, tmp_path):
         tokens = sorted((len(library.encode(t, add_special_tokens=False).ids) + 1 for _, t in want))
         assert sum(p.length for p in pieces) == sum(tokens)
         assert sorted({p.doc_id for p in pieces}, key=str) == sorted({d for d, _ in want}, key=str)
+
+
+def test_tables_of_texts_are_read_in_small_batches(spark, tmp_path, monkeypatch):
+    """A scan of full rows, 4096 of them at a time, took the heap of a plain session."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from lexspark.llm import common, ngram_join
+
+    spark.createDataFrame([(k, f"{k} " * 60) for k in range(20)], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    seen, key = [], "spark.sql.parquet.columnarReaderBatchSize"
+    for name in ("parquet", "saveAsTable"):
+        write = getattr(DataFrameWriter, name)
+        monkeypatch.setattr(DataFrameWriter, name, lambda self, *a, write=write, **k: (seen.append(int(spark.conf.get(key))), write(self, *a, **k))[1])
+    before = spark.conf.get(key)
+    assert ngram_join.keep_one(spark.read.parquet(f"{tmp_path}/docs")).count() == 20
+    assert seen and max(seen) <= common.ROWS and spark.conf.get(key) == before
