@@ -388,6 +388,19 @@ def test_popular_passages_with_edits(spark):
     assert len(got) >= 0.95 * 149
 
 
+def test_passages_of_frequent_lines(spark, monkeypatch):
+    """Two documents share a passage in which only lines agree that 600 others hold apart."""
+    monkeypatch.setattr(passage_dedup, "GROUP_BYTES", 200_000)
+    text = lambda n, seed: " ".join(words(n, seed))
+    lines = [text(10, 900 + k) for k in range(6)]
+    apart = [" ".join(f"{text(20, 1000 + 10 * d + k)} {lines[k]}" for k in range(6)) for d in range(600)]
+    both = [" ".join(f"{x} {side}{k}" for k, x in enumerate(lines)) for side in ("ours", "theirs")]
+    rows = [(d, t) for d, t in enumerate(apart[:300])] + [(1000, f"{text(80, 1)} {both[0]} {text(80, 2)}")]
+    rows += [(2000 + d, t) for d, t in enumerate(apart[300:])] + [(3000, f"{text(70, 3)} {both[1]} {text(70, 4)}")]
+    got = passage_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [tuple(r)[:4] for r in got] == [(3000, 1000, 70, 135)]
+
+
 def test_passages_do_not_depend_on_the_layout(spark, monkeypatch):
     monkeypatch.setattr(passage_dedup, "GROUP_BYTES", 20_000)
     monkeypatch.setattr(passage_dedup, "ASKS", 5)
