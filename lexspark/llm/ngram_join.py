@@ -272,8 +272,7 @@ def link(docs: DataFrame, n: int = 3, threshold: float = THRESHOLD, trees: int =
     full = rows if row is None else known.of(docs, row.alias("row"))
     found = stored(rows.select("name", digest(F.col("text")).alias("digest")).groupBy("digest").agg(F.min("name").alias("node")), release=False)
     one = full.join(found.select(F.col("node").alias("name")), "name", "left_semi")
-    one = one.dropDuplicates(["name"]) if known.twins else one
-    held = placed(one.withColumnRenamed("name", "node"), "node", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    held = placed(one.withColumnRenamed("name", "node"), "node", int(spark.conf.get("spark.sql.shuffle.partitions")), once=known.twins)
     texts = held if row is None else held.select("node", F.coalesce(F.col("row").getField(text_col), F.lit("")).alias("text"))
     nodes = stored(forest_nodes(texts, n))
     tries = stored(forest(nodes, trees, depths))
