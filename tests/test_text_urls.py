@@ -54,6 +54,15 @@ def test_messages(spark):
     assert [tuple(x) for x in coded.select(U.decode_results(F.col("m")).alias("r")).first().r] == rows[0][1]
 
 
+def test_a_message_is_split_once(spark):
+    """A split for each field took time with the square of a message's rows."""
+    rows = [(k, [(f"t{j}", "", f"u{j}", j) for j in range(k)]) for k in (0, 1, 400)]
+    df = spark.createDataFrame(rows, "seq int, rows array<struct<title:string,abstract:string,url:string,score:long>>")
+    back = df.select("seq", U.decode_results(U.encode_results(F.col("seq"), F.col("rows"))).alias("r"))
+    assert {r.seq: [tuple(x) for x in r.r] for r in back.collect()} == dict(rows)
+    assert back._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
 def test_parsed_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("https://www.example.org/a\n2\n6\n#quick\n#fox\none\ntwo\nthree\nfour\nfive\nsix\n")
     (tmp_path / "b.bin").write_text("x")
