@@ -97,6 +97,16 @@ def test_html():
     assert p.links == [("/l", ["link", "text"])] and p.base == "https://b.org/x/"
 
 
+def test_pages_are_parsed_in_pieces():
+    """All pages of a batch at once took a worker's memory with the batch's size."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(700)), "html": ["x" * (20_000 if k < 100 else 10) for k in range(700)]})
+    parts = list(html.pieces([batch, batch.slice(0, 0), batch.slice(600)]))
+    assert [x for p in parts for x in p.column("page_id").to_pylist()] == [*range(700), *range(600, 700)]
+    assert len(parts) > 2 and max(p.num_rows for p in parts) <= html.PIECE_ROWS
+
+
 @pytest.mark.parametrize("text", ["", "<", "<p", "a <p", "</p", "<a href=", '<a href="', "<script>x", "<title>t", "<<<", "< p>x", "<svg/>", '<p a=">">x'])
 def test_html_ends(text):
     html.parse_html(text)
