@@ -86,6 +86,21 @@ def test_index_codec_round_trip(spark):
     assert ix.chunk_stats.first().asDict() == {"chunk_id": 0, "n_posts": 7, "n_unique": 4, "n_docs": 2}
 
 
+def test_documents_are_spread_by_their_size(spark, tmp_path, monkeypatch):
+    """As many partitions as cores, whatever the size, were read whole by one task each."""
+    import uuid
+
+    from lexspark.plans import catalogue
+
+    spark.createDataFrame([(k, f"{uuid.UUID(int=k * 7919**9 % 2**128)} of the", "s", "en") for k in range(3000)], "doc_id long, text string, source string, lang string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(index, "PART", 4096, raising=False)
+    ix = catalogue.documents_index(spark, str(tmp_path))
+    words = next(w for (_, d), (_, w) in catalogue._built.items() if d == str(tmp_path))
+    assert words.rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
+    assert ix.chunk_stats.first().n_docs == 3000
+    catalogue._release(spark)
+
+
 PAGE = """<html><TITLE>Good Day, all</title><base href="https://b.org/x/"><script>var a = "<p>no";</script><p>One two3 THREE<a
 href="/l" class="x">Link text</a> tail <a>none</a><svg><svg>in</svg>in</svg> end <unknown> word <!--x--> <!-- gone --> last"""
 
